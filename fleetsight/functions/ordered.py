@@ -46,13 +46,13 @@ def rank_in_time(
 ) -> DataFrame:
     """``row_number() over (partition by keys order by ts, tie)``, optionally with the row count per key."""
     rows = df.withColumn("__chunk", _chunk(F.col(ts), chunk_seconds))
-    counts = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    counts = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__size"))
     per_key = Window.partitionBy(*keys)
     earlier = per_key.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("__n").over(per_key))
-    joined = _join_on_chunk(rows, offsets.drop("__n"), keys)
+        offsets = offsets.withColumn(total, F.sum("__size").over(per_key))
+    joined = _join_on_chunk(rows, offsets.drop("__size"), keys)
     local = Window.partitionBy(*keys, "__chunk").orderBy(ts, tie)
     return joined.withColumn(out, F.row_number().over(local) + F.col("__offset")).drop("__chunk", "__offset")
 

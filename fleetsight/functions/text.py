@@ -95,8 +95,13 @@ def json_text_map(c: Column) -> Column:
 
 
 def merge_json(base: Column, patch: Column) -> Column:
-    """Top-level merge of two JSON objects where the patch wins."""
-    left, right = json_text_map(base), json_text_map(patch)
+    """Top-level merge of two JSON objects where the patch wins; values keep their JSON types."""
+    empty = F.create_map().cast("map<string,variant>")
+
+    def as_map(c: Column) -> Column:
+        return F.coalesce(F.from_json(c, "map<string,variant>", {"mode": "PERMISSIVE"}), empty)
+
+    left, right = as_map(base), as_map(patch)
     kept = F.map_filter(left, lambda k, _v: ~F.map_contains_key(right, k))
     return F.to_json(F.map_concat(kept, right))
 

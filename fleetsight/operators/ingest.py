@@ -13,10 +13,15 @@ from fleetsight.schemas import ENVELOPE, PERCENT, RETENTION_DAYS
 
 
 def decode_envelopes(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Parse JSON text; rows that are not an object keep a NULL ``msg`` and go to the dead-letter output."""
-    return messages.withColumn("msg", F.from_json(F.col(value).cast("string"), ENVELOPE, {"mode": "PERMISSIVE"})).withColumn(
-        "is_object", F.coalesce(F.col(value).cast("string").rlike(r"^\s*\{"), F.lit(False)) & F.col("msg").isNotNull()
-    )
+    """Parse JSON text; rows that are not an object keep a NULL ``msg`` and go to the dead-letter output.
+
+    The parsed struct comes out of a one-element explode: a generator keeps Catalyst from copying ``from_json``
+    into every later use of one of its fields, so each message is parsed once.
+    """
+    raw = F.col(value).cast("string")
+    parsed = F.explode(F.array(F.from_json(raw, ENVELOPE, {"mode": "PERMISSIVE"}))).alias("msg")
+    is_object = F.coalesce(raw.rlike(r"^\s*\{"), F.lit(False)) & F.col("msg").isNotNull()
+    return messages.select("*", parsed).withColumn("is_object", is_object)
 
 
 def dead_letters(decoded: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def main() -> int:
         try:
             ok, n, message = compare(con, spark, name, sf_dir)
         except Exception as exc:  # report and go on
-            ok, n, message = False, -1, f"{type(exc).__name__}: {str(exc)[:700]}"
+            ok, n, message = False, -1, f"{type(exc).__name__}: {str(exc)[:300]}"
         print(f"{'ok  ' if ok else 'FAIL'} {name:34s} rows={n:6d} {time.time() - start:6.2f}s {message}", flush=True)
         if not ok:
             failed.append(name)
