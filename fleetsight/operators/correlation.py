@@ -36,146 +36,143 @@ def _first(hit: Column, newest: bool = False) -> Column:
     return F.max(value) if newest else F.min(value)
 
 
-def _row(rows: DataFrame, name: str, pattern: str, cause: Column, root: Column, conf: Column, evidence: Column) -> DataFrame:
-    return rows.select(
-        F.lit(name).alias("correlation_id"),
-        F.lit(pattern).alias("pattern"),
-        cause.alias("root_cause"),
-        root.cast("string").alias("root_system"),
-        F.round(conf.cast("double"), 6).alias("confidence"),
-        evidence.alias("evidence"),
-    )
+def hot_hosts(snapshots: DataFrame, cpu: float = 85) -> DataFrame:
+    """Hosts with a snapshot above the CPU limit: time of the newest one and their number."""
+    return snapshots.filter(F.col("cpu_usage_percent") > cpu).groupBy("system_id").agg(F.max("snapshot_time").alias("hot_at"), F.count(F.lit(1)).alias("hot_snapshots"))
 
 
-def db_api_cascade(incidents: DataFrame, snapshots: DataFrame, words: dict = KEYWORDS) -> DataFrame:
-    """A storage incident and an API or service incident; stronger when the storage one came first."""
-    one = incidents.agg(_first(has_type(words["db"])).alias("db"), _first(has_type(words["api"])).alias("api")).filter(
-        F.col("db").isNotNull() & F.col("api").isNotNull()
+def correlation_facts(incidents: DataFrame, predictions: DataFrame, snapshots: DataFrame, systems: DataFrame, words: dict = KEYWORDS) -> DataFrame:
+    """Everything the five patterns ask about, as one row.
+
+    The incidents are read once: they meet the per-host flag of hot snapshots and are reduced by one global
+    aggregate. The other inputs are one-row aggregates or one row per host, looked up for a single host.
+    """
+    hot = hot_hosts(snapshots)
+    flagged = incidents.join(hot.select("system_id", F.lit(True).alias("hot")), "system_id", "left")
+    one = flagged.agg(
+        F.count(F.lit(1)).alias("incidents"),
+        _first(has_type(words["db"])).alias("db"),
+        _first(has_type(words["api"])).alias("api"),
+        _first(has_type(words["crash"])).alias("crash"),
+        _first(has_type(words["auth"]), newest=True).alias("auth"),
+        F.count_if(has_type(words["network"])).alias("net"),
+        F.countDistinct(F.when(has_type(words["network"]), F.col("system_id"))).alias("net_hosts"),
+        F.count_if(F.coalesce("hot", F.lit(False))).alias("on_hot_hosts"),
+        # An incident has one host, so a host common to all of them is the only one there is.
+        F.when(F.min("system_id") == F.max("system_id"), F.min("system_id")).alias("common"),
     )
     busy = snapshots.filter(F.col("critical_count") > 5).groupBy(F.col("system_id").alias("busy_host")).agg(
         F.max_by("critical_count", "snapshot_time").alias("busy_count")
     )
-    rows = one.join(busy, F.col("db.system_id") == F.col("busy_host"), "left")
-    ordered = F.col("db.created_at") <= F.col("api.created_at")
-    boosted = F.col("busy_host").isNotNull()
-    conf = F.least(F.when(ordered, 0.72).otherwise(0.48) + F.when(boosted, 0.10).otherwise(0.0), F.lit(1.0))
-    gap = F.round(minutes_between(F.col("db.created_at"), F.col("api.created_at")), 1).cast("decimal(18,1)").cast("string")
-    evidence = F.array_compact(
-        F.array(
-            F.concat(F.col("db.fault_type"), F.lit(" on ["), F.col("db.system_id"), F.lit("] started first")),
-            F.concat(F.col("api.fault_type"), F.lit(" failures followed "), gap, F.lit("m later")),
-            F.when(boosted, F.concat(F.lit("Feature snapshot: "), F.col("busy_count").cast("string"), F.lit(" critical events on "), F.col("busy_host"))),
-        )
+    newest = predictions.groupBy(F.col("system_id").alias("model_host")).agg(
+        F.max_by(F.struct(F.col("failure_probability").cast("double").alias("p"), F.col("predicted_fault").alias("fault")), "prediction_time").alias("m")
+    )
+    top_hot = hot.agg(F.max(F.struct("hot_at", F.col("system_id").alias("host"))).alias("r"), F.sum("hot_snapshots").alias("n"))
+    cpu = systems.agg(F.avg(F.col("cpu_usage_percent").cast("double")))
+    return (
+        one.join(busy, F.col("db.system_id") == F.col("busy_host"), "left")
+        .join(newest, F.col("common") == F.col("model_host"), "left")
+        .withColumns({"fleet_cpu": cpu.scalar(), "hot_root": top_hot.select("r.host").scalar(), "hot_count": top_hot.select("n").scalar()})
     )
-    cause = F.concat(F.col("db.fault_type"), F.lit(" on "), F.col("db.system_id"), F.lit(" caused downstream API failures"))
-    return _row(rows, "corr-db-api-cascade", "db_api_cascade", cause, F.col("db.system_id"), conf, evidence)
-
-
-def hot_hosts(snapshots: DataFrame, cpu: float = 85) -> DataFrame:
-    """Hosts with a snapshot above the CPU limit and the time of the newest one."""
-    return snapshots.filter(F.col("cpu_usage_percent") > cpu).groupBy("system_id").agg(F.max("snapshot_time").alias("hot_at"), F.count(F.lit(1)).alias("hot_snapshots"))
 
 
-def cpu_exhaustion(incidents: DataFrame, snapshots: DataFrame, systems: DataFrame, fleet_limit: float = 80) -> DataFrame:
-    """Fleet CPU at or above the limit and incidents on hosts with a hot snapshot. Three one-row sums are stacked."""
-    hot = hot_hosts(snapshots)
-    hit = incidents.join(hot.select("system_id"), "system_id", "left_semi")
-    none = F.lit(None)
-    parts = (
-        systems.agg(F.avg(F.col("cpu_usage_percent").cast("double")).alias("cpu"))
-        .withColumns({"n": none.cast("bigint"), "root": none.cast("struct<hot_at:timestamp,host:string>"), "snaps": none.cast("bigint")})
-        .unionByName(
-            hit.agg(F.count(F.lit(1)).alias("n")).withColumns(
-                {"cpu": none.cast("double"), "root": none.cast("struct<hot_at:timestamp,host:string>"), "snaps": none.cast("bigint")}
-            )
-        )
-        .unionByName(
-            hot.agg(F.max(F.struct("hot_at", F.col("system_id").alias("host"))).alias("root"), F.sum("hot_snapshots").alias("snaps")).withColumns(
-                {"cpu": none.cast("double"), "n": none.cast("bigint")}
-            )
-        )
-    )
-    one = parts.agg(F.max("cpu").alias("cpu"), F.max("n").alias("n"), F.max("root").alias("root"), F.max("snaps").alias("snaps"))
-    rows = one.filter((F.col("cpu") >= fleet_limit) & (F.col("n") > 0))
-    conf = F.least(F.lit(0.65) + (F.col("cpu") - 80) / 100, F.lit(0.90))
-    evidence = F.array(
-        F.concat(F.lit("Fleet avg CPU: "), F.floor(F.col("cpu") + 0.5).cast("string"), F.lit("% (threshold: 80%)")),
-        F.concat(F.col("snaps").cast("string"), F.lit(" snapshots above 85% CPU")),
+def _pattern(name: str, pattern: str, applies: Column, cause: Column, root: Column, conf: Column, evidence: list[Column]) -> Column:
+    row = F.struct(
+        F.lit(name).alias("correlation_id"),
+        F.lit(pattern).alias("pattern"),
+        cause.alias("root_cause"),
+        root.cast("string").alias("root_system"),
+        F.round(conf.cast("double"), 6).alias("confidence"),
+        F.array_compact(F.array(*evidence)).alias("evidence"),
     )
-    return _row(rows, "corr-cpu-exhaustion", "cpu_exhaustion", F.lit("CPU exhaustion causing cascading service degradation"), F.col("root.host"), conf, evidence)
+    return F.when(applies, row)
 
 
-def network_degradation(incidents: DataFrame, words: dict = KEYWORDS) -> DataFrame:
+def db_api_cascade() -> Column:
+    """A storage incident and an API or service incident; stronger when the storage one came first."""
+    db, api = F.col("db"), F.col("api")
+    boosted = F.col("busy_host").isNotNull()
+    conf = F.least(F.when(db["created_at"] <= api["created_at"], 0.72).otherwise(0.48) + F.when(boosted, 0.10).otherwise(0.0), F.lit(1.0))
+    gap = F.round(minutes_between(db["created_at"], api["created_at"]), 1).cast("decimal(18,1)").cast("string")
+    evidence = [
+        F.concat(db["fault_type"], F.lit(" on ["), db["system_id"], F.lit("] started first")),
+        F.concat(api["fault_type"], F.lit(" failures followed "), gap, F.lit("m later")),
+        F.when(boosted, F.concat(F.lit("Feature snapshot: "), F.col("busy_count").cast("string"), F.lit(" critical events on "), F.col("busy_host"))),
+    ]
+    cause = F.concat(db["fault_type"], F.lit(" on "), db["system_id"], F.lit(" caused downstream API failures"))
+    return _pattern("corr-db-api-cascade", "db_api_cascade", db.isNotNull() & api.isNotNull(), cause, db["system_id"], conf, evidence)
+
+
+def cpu_exhaustion(fleet_limit: float = 80) -> Column:
+    """Fleet CPU at or above the limit and incidents on hosts with a hot snapshot."""
+    cpu = F.col("fleet_cpu")
+    evidence = [
+        F.concat(F.lit("Fleet avg CPU: "), F.floor(cpu + 0.5).cast("string"), F.lit("% (threshold: 80%)")),
+        F.concat(F.col("hot_count").cast("string"), F.lit(" snapshots above 85% CPU")),
+    ]
+    conf = F.least(F.lit(0.65) + (cpu - 80) / 100, F.lit(0.90))
+    cause = F.lit("CPU exhaustion causing cascading service degradation")
+    applies = (cpu >= fleet_limit) & (F.col("on_hot_hosts") > 0)
+    return _pattern("corr-cpu-exhaustion", "cpu_exhaustion", applies, cause, F.col("hot_root"), conf, evidence)
+
+
+def network_degradation() -> Column:
     """Two or more network incidents on two or more hosts."""
-    rows = (
-        incidents.filter(has_type(words["network"]))
-        .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("system_id").alias("hosts"))
-        .filter((F.col("n") >= 2) & (F.col("hosts") >= 2))
-    )
-    conf = F.least(F.lit(0.55) + F.col("n") * 0.05, F.lit(0.90))
-    evidence = F.array(
-        F.concat(F.lit("Network incidents on "), F.col("hosts").cast("string"), F.lit(" systems simultaneously")),
+    evidence = [
+        F.concat(F.lit("Network incidents on "), F.col("net_hosts").cast("string"), F.lit(" systems simultaneously")),
         F.lit("Suggests upstream router/BGP or datacenter-level connectivity issue"),
-    )
+    ]
+    conf = F.least(F.lit(0.55) + F.col("net") * 0.05, F.lit(0.90))
     cause = F.lit("External network degradation affecting multiple systems")
-    return _row(rows, "corr-network-degradation", "network_degradation", cause, F.lit(None), conf, evidence)
+    applies = (F.col("net") >= 2) & (F.col("net_hosts") >= 2)
+    return _pattern("corr-network-degradation", "network_degradation", applies, cause, F.lit(None), conf, evidence)
 
 
-def common_systems(incidents: DataFrame) -> DataFrame:
-    """Hosts that every incident has in common: intersection as a count per host against the number of incidents."""
-    per_host = incidents.select("incident_key", "system_id").distinct().groupBy("system_id").agg(F.count(F.lit(1)).alias("n"))
-    total = incidents.agg(F.countDistinct("incident_key").alias("total"))
-    rows = per_host.withColumn("total", F.lit(None).cast("bigint")).unionByName(
-        total.withColumns({"system_id": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint")})
-    )
-    # Incidents have one host each, so a host can only reach the total if no other host exists.
-    one = rows.agg(F.max("total").alias("total"), F.max("n").alias("n"), F.max_by("system_id", "n").alias("system_id"))
-    return one.filter((F.col("n") == F.col("total")) & (F.col("total") > 0)).select("system_id", F.col("total").alias("incidents"))
-
-
-def isolated_node(incidents: DataFrame, predictions: DataFrame) -> DataFrame:
+def isolated_node() -> Column:
     """All of two or more incidents share exactly one host."""
-    common = common_systems(incidents).filter(F.col("incidents") >= 2)
-    newest = predictions.groupBy("system_id").agg(
-        F.max_by(F.struct(F.col("failure_probability").cast("double").alias("p"), F.col("predicted_fault").alias("fault")), "prediction_time").alias("m")
-    )
-    rows = common.join(newest, "system_id", "left")
-    conf = F.least(F.lit(0.70) + F.coalesce(F.col("m.p"), F.lit(0.0)) * 0.15, F.lit(0.95))
-    percent = F.floor(F.col("m.p") * 100 + 0.5).cast("string")
-    evidence = F.array_compact(
-        F.array(
-            F.concat(F.lit("All "), F.col("incidents").cast("string"), F.lit(" incidents share single system: "), F.col("system_id")),
-            F.when(F.col("m").isNotNull(), F.concat(F.lit("ML failure probability: "), percent, F.lit("% — predicted: "), F.coalesce(F.col("m.fault"), F.lit("Unknown")))),
-        )
-    )
-    return _row(rows, "corr-isolated-node", "isolated_node", F.concat(F.lit("Isolated node failure: "), F.col("system_id")), F.col("system_id"), conf, evidence)
-
-
-def auth_after_crash(incidents: DataFrame, words: dict = KEYWORDS, minutes: float = AUTH_MINUTES) -> DataFrame:
+    host, model = F.col("common"), F.col("m")
+    percent = F.floor(model["p"] * 100 + 0.5).cast("string")
+    evidence = [
+        F.concat(F.lit("All "), F.col("incidents").cast("string"), F.lit(" incidents share single system: "), host),
+        F.when(model.isNotNull(), F.concat(F.lit("ML failure probability: "), percent, F.lit("% — predicted: "), F.coalesce(model["fault"], F.lit("Unknown")))),
+    ]
+    conf = F.least(F.lit(0.70) + F.coalesce(model["p"], F.lit(0.0)) * 0.15, F.lit(0.95))
+    cause = F.concat(F.lit("Isolated node failure: "), host)
+    return _pattern("corr-isolated-node", "isolated_node", (F.col("incidents") >= 2) & host.isNotNull(), cause, host, conf, evidence)
+
+
+def auth_after_crash(minutes: float = AUTH_MINUTES) -> Column:
     """The newest auth incident follows the earliest crash or service incident within the window."""
-    one = incidents.agg(_first(has_type(words["crash"])).alias("crash"), _first(has_type(words["auth"]), newest=True).alias("auth"))
-    gap = minutes_between(F.col("crash.created_at"), F.col("auth.created_at"))
-    rows = one.filter((F.col("crash.created_at") <= F.col("auth.created_at")) & (gap <= minutes))
-    host = F.col("crash.system_id")
-    evidence = F.array(
-        F.concat(F.col("crash.fault_type"), F.lit(" on "), host, F.lit(" at "), F.date_format(F.col("crash.created_at"), "HH:mm")),
+    crash, auth = F.col("crash"), F.col("auth")
+    gap = minutes_between(crash["created_at"], auth["created_at"])
+    host = crash["system_id"]
+    evidence = [
+        F.concat(crash["fault_type"], F.lit(" on "), host, F.lit(" at "), F.date_format(crash["created_at"], "HH:mm")),
         F.concat(F.lit("Auth failures followed "), F.round(gap, 1).cast("decimal(18,1)").cast("string"), F.lit("m later")),
         F.lit("Service restart likely invalidated in-flight sessions / JWT refresh tokens"),
-    )
+    ]
     cause = F.concat(F.lit("Service crash on "), host, F.lit(" caused auth token invalidation"))
-    return _row(rows, "corr-auth-after-crash", "auth_after_crash", cause, host, F.lit(0.68), evidence)
+    applies = (crash["created_at"] <= auth["created_at"]) & (gap <= minutes)
+    return _pattern("corr-auth-after-crash", "auth_after_crash", applies, cause, host, F.lit(0.68), evidence)
 
 
-def correlate(incidents: DataFrame, predictions: DataFrame, snapshots: DataFrame, systems: DataFrame, words: dict = KEYWORDS, **kw) -> DataFrame:
-    """All patterns that apply, most confident first."""
-    rows = (
-        db_api_cascade(incidents, snapshots, words)
-        .unionByName(cpu_exhaustion(incidents, snapshots, systems, kw.get("fleet_limit", 80)))
-        .unionByName(network_degradation(incidents, words))
-        .unionByName(isolated_node(incidents, predictions))
-        .unionByName(auth_after_crash(incidents, words, kw.get("minutes", AUTH_MINUTES)))
-    )
-    return rows.orderBy(F.col("confidence").desc(), "correlation_id")
+def patterns_of(facts: DataFrame, fleet_limit: float = 80, minutes: float = AUTH_MINUTES) -> DataFrame:
+    """Patterns that apply to the facts row, most confident first."""
+    rows = F.array_compact(F.array(db_api_cascade(), cpu_exhaustion(fleet_limit), network_degradation(), isolated_node(), auth_after_crash(minutes)))
+    return facts.select(F.inline(rows)).orderBy(F.col("confidence").desc(), "correlation_id")
+
+
+def correlate(
+    incidents: DataFrame, predictions: DataFrame, snapshots: DataFrame, systems: DataFrame, words: dict = KEYWORDS, fleet_limit: float = 80, minutes: float = AUTH_MINUTES
+) -> DataFrame:
+    return patterns_of(correlation_facts(incidents, predictions, snapshots, systems, words), fleet_limit, minutes)
+
+
+def common_systems(incidents: DataFrame) -> DataFrame:
+    """Hosts that all incidents have in common: a host's distinct incidents against the number of all incidents."""
+    total = incidents.agg(F.countDistinct("incident_key"))
+    per_host = incidents.groupBy("system_id").agg(F.countDistinct("incident_key").alias("incidents"))
+    return per_host.filter(F.col("incidents") == total.scalar())
 
 
 def correlation_systems(correlations: DataFrame, incidents: DataFrame, snapshots: DataFrame, words: dict = KEYWORDS) -> DataFrame:

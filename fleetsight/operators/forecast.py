@@ -39,8 +39,9 @@ def forecasts(history: DataFrame, snapshots: DataFrame) -> DataFrame:
     indexed = history.withColumn("x", (F.row_number().over(place) - 1).cast("double"))
     fit = indexed.groupBy("system_id").agg(
         F.count(F.lit(1)).alias("samples"),
-        F.regr_slope("failure_probability", "x").alias("slope"),
-        F.regr_r2("failure_probability", "x").alias("r2"),
+        # Rounded so that the limits below do not depend on the order of a floating-point sum.
+        F.round(F.regr_slope("failure_probability", "x"), 12).alias("slope"),
+        F.round(F.regr_r2("failure_probability", "x"), 12).alias("r2"),
         F.max_by(F.struct("failure_probability", "anomaly_score"), "prediction_time").alias("now"),
     )
     rows = fit.join(latest_cpu(snapshots), "system_id", "left")

@@ -66,80 +66,103 @@ def signals_with_predictions(signals: DataFrame, predictions: DataFrame) -> Data
     )
 
 
-def signal_incidents(signals: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Signals with three or more events, or CRITICAL or ERROR; the newest per (host, fault).
-
-    The cut to one row per key happens before the join with predictions.
-    """
+def strongest_signals(signals: DataFrame) -> DataFrame:
+    """Signals with three or more events, or CRITICAL or ERROR; the newest per (host, fault)."""
     strong = signals.filter((F.col("count") >= 3) | F.col("severity").isin("CRITICAL", "ERROR"))
     newest = latest_per_key(
         strong, ["system_id", "fault_type"], F.col("last_seen").desc(), severity_rank(F.col("severity")).desc(), F.col("signal_id").asc()
     )
-    rows = signals_with_predictions(newest, predictions)
-    a, f = F.col("anomaly_score"), F.col("failure_probability")
-    return rows.select(
-        F.concat_ws("::", F.lit("sig"), "system_id", "fault_type").alias("incident_key"),
-        F.concat(F.lit("INC-SIG-"), "signal_id").alias("incident_id"),
-        F.concat("fault_type", F.lit(" spike ×"), F.col("count").cast("string")).alias("title"),
-        "fault_type",
-        escalated_severity(F.col("severity"), a, f).alias("severity"),
+    return newest.select(
+        F.lit("signal").alias("trigger"),
         "system_id",
+        "fault_type",
         "systems",
-        F.col("count").alias("event_count"),
-        confidence(F.col("count"), a, f).alias("confidence"),
-        F.lit("signal").alias("trigger"),
-        a.alias("anomaly_score"),
-        f.alias("failure_prob"),
-        "predicted_fault",
-        F.col("anomaly_trend").alias("trend"),
+        F.col("count").alias("n"),
+        F.col("severity").alias("base_severity"),
+        "signal_id",
+        F.lit(None).cast("double").alias("a"),
+        F.lit(None).cast("double").alias("f"),
         F.col("last_seen").alias("created_at"),
     )
 
 
-def _model_incidents(predictions: DataFrame, snapshots: DataFrame, kind: str) -> DataFrame:
-    anomaly = kind == "anomaly"
-    score = "anomaly_score" if anomaly else "failure_probability"
-    limit, top = (0.7, 0.85) if anomaly else (0.6, 0.80)
+def risky_predictions(predictions: DataFrame) -> DataFrame:
+    """Predictions above 0.7 anomaly or 0.6 failure probability, newest per (host, fault, rule).
+
+    One pass: a row above both limits counts for both rules, then the failure rule yields to an anomaly of the
+    same host and fault (at most two rows per key meet in that window).
+    """
     typed = predictions.withColumns({c: F.col(c).cast("double") for c in ("anomaly_score", "failure_probability")})
-    risky = typed.filter(F.col(score) > limit)
-    newest = latest_per_key(risky, ["system_id", "predicted_fault"], F.col("prediction_time").desc())
-    sizes = snapshots.groupBy("system_id").agg(F.max_by("total_events", "snapshot_time").alias("total_events"))
-    trends = latest_trends(predictions).select("system_id", F.col("anomaly_trend" if anomaly else "risk_trend").alias("trend"))
-    rows = newest.join(sizes, "system_id", "left").join(trends, "system_id", "left")
-    n = F.coalesce("total_events", F.lit(1))
-    percent = js_round(F.col(score) * 100).cast("string")
-    prefix, tag = ("anom", "INC-ML-ANOM-") if anomaly else ("failprob", "INC-ML-RISK-")
-    title = (
-        F.concat(F.lit("ML anomaly: "), "predicted_fault", F.lit(" ("), percent, F.lit("%)"))
-        if anomaly
-        else F.concat(F.lit("Failure risk: "), "predicted_fault", F.lit(" ("), percent, F.lit("% prob)"))
+    kinds = F.array_compact(
+        F.array(F.when(F.col("anomaly_score") > 0.7, "anomaly"), F.when(F.col("failure_probability") > 0.6, "failure_prob"))
     )
-    return rows.select(
-        F.concat_ws("::", F.lit(prefix), "system_id", "predicted_fault").alias("incident_key"),
-        F.concat(F.lit(tag), "system_id").alias("incident_id"),
-        title.alias("title"),
-        F.col("predicted_fault").alias("fault_type"),
-        F.when(F.col(score) > top, "CRITICAL").otherwise("ERROR").alias("severity"),
+    tagged = typed.withColumn("trigger", F.explode(kinds))
+    newest = latest_per_key(tagged, ["system_id", "predicted_fault", "trigger"], F.col("prediction_time").desc())
+    both = Window.partitionBy("system_id", "predicted_fault")
+    has_anomaly = F.max(F.when(F.col("trigger") == "anomaly", True).otherwise(False)).over(both)
+    kept = newest.withColumn("__anom", has_anomaly).filter((F.col("trigger") == "anomaly") | ~F.col("__anom"))
+    return kept.select(
+        "trigger",
         "system_id",
+        F.col("predicted_fault").alias("fault_type"),
         F.array("system_id").alias("systems"),
-        n.alias("event_count"),
-        confidence(n, F.col("anomaly_score"), F.col("failure_probability")).alias("confidence"),
-        F.lit("anomaly" if anomaly else "failure_prob").alias("trigger"),
-        "anomaly_score",
-        F.col("failure_probability").alias("failure_prob"),
-        "predicted_fault",
-        "trend",
+        F.lit(None).cast("bigint").alias("n"),
+        F.lit(None).cast("string").alias("base_severity"),
+        F.lit(None).cast("string").alias("signal_id"),
+        F.col("anomaly_score").alias("a"),
+        F.col("failure_probability").alias("f"),
         F.col("prediction_time").alias("created_at"),
     )
 
 
 def derive_incidents(signals: DataFrame, predictions: DataFrame, snapshots: DataFrame, as_of) -> DataFrame:
-    """Union of the three incident rules; a failure-risk incident yields to an anomaly of the same host and fault."""
-    anomalies = _model_incidents(predictions, snapshots, "anomaly")
-    risks = _model_incidents(predictions, snapshots, "failure_prob")
-    risks = risks.join(anomalies.select("system_id", "fault_type"), ["system_id", "fault_type"], "left_anti")
-    rows = signal_incidents(signals, predictions).unionByName(anomalies).unionByName(risks)
-    return with_priority(rows.withColumn("lifecycle", F.lit("OPEN")), as_of).select(*OUT)
+    """Incidents from signals, anomalies and failure risks.
+
+    The three rules are stacked first, already cut to one row per key, and then meet the per-host facts (newest
+    prediction with its trends, size of the newest snapshot) in one join each.
+    """
+    stacked = strongest_signals(signals).unionByName(risky_predictions(predictions))
+    sizes = snapshots.groupBy("system_id").agg(F.max_by("total_events", "snapshot_time").alias("total_events"))
+    facts = latest_trends(predictions).drop("prediction_time")
+    rows = stacked.join(facts, "system_id", "left").join(sizes, "system_id", "left")
+    kind, fault = F.col("trigger"), F.col("fault_type")
+    sig, anomaly = kind == "signal", kind == "anomaly"
+    rows = rows.withColumns(
+        {
+            "a": F.coalesce("a", "anomaly_score", F.lit(0.0)),
+            "f": F.coalesce("f", "failure_probability", F.lit(0.0)),
+            "n": F.coalesce("n", F.when(sig, F.lit(None)).otherwise(F.col("total_events")), F.lit(1)),
+        }
+    )
+    a, f, n = F.col("a"), F.col("f"), F.col("n")
+    host = F.col("system_id")
+    model_severity = F.when(F.when(anomaly, a > 0.85).otherwise(f > 0.80), "CRITICAL").otherwise("ERROR")
+    percent = js_round(F.when(anomaly, a).otherwise(f) * 100).cast("string")
+    out = rows.select(
+        F.concat_ws("::", F.when(sig, "sig").when(anomaly, "anom").otherwise("failprob"), host, fault).alias("incident_key"),
+        F.when(sig, F.concat(F.lit("INC-SIG-"), F.col("signal_id")))
+        .when(anomaly, F.concat(F.lit("INC-ML-ANOM-"), host))
+        .otherwise(F.concat(F.lit("INC-ML-RISK-"), host))
+        .alias("incident_id"),
+        F.when(sig, F.concat(fault, F.lit(" spike ×"), n.cast("string")))
+        .when(anomaly, F.concat(F.lit("ML anomaly: "), fault, F.lit(" ("), percent, F.lit("%)")))
+        .otherwise(F.concat(F.lit("Failure risk: "), fault, F.lit(" ("), percent, F.lit("% prob)")))
+        .alias("title"),
+        "fault_type",
+        F.when(sig, escalated_severity(F.col("base_severity"), a, f)).otherwise(model_severity).alias("severity"),
+        "system_id",
+        "systems",
+        n.alias("event_count"),
+        confidence(n, a, f).alias("confidence"),
+        "trigger",
+        F.lit("OPEN").alias("lifecycle"),
+        a.alias("anomaly_score"),
+        f.alias("failure_prob"),
+        F.when(sig, F.col("predicted_fault")).otherwise(fault).alias("predicted_fault"),
+        F.coalesce(F.when(kind == "failure_prob", F.col("risk_trend")).otherwise(F.col("anomaly_trend")), F.lit("stable")).alias("trend"),
+        "created_at",
+    )
+    return with_priority(out, as_of).select(*OUT)
 
 
 def ordered_incidents(rows: DataFrame) -> DataFrame:

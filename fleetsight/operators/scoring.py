@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -236,13 +237,16 @@ def kmeans_clusters(
     k = min(k, vectors.limit(k).count())
     if k < 2:
         return rows.withColumn("cluster_id", F.lit(None).cast("int"))
-    best = None
-    for attempt in range(runs):
+
+    def fit(attempt: int):
         model = KMeans(k=k, seed=seed + attempt, featuresCol="__features", predictionCol="cluster_id").fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1].transform(vectors).drop("__features", *z)
+        return model.summary.trainingCost, attempt, model
+
+    # The runs are independent sequences of small jobs; a few driver threads keep the cluster busy with them.
+    with ThreadPool(min(runs, 5)) as pool:
+        fitted = pool.map(fit, range(runs))
+    best = min(fitted, key=lambda f: f[:2])
+    return best[2].transform(vectors).drop("__features", *z)
 
 
 # ---------------------------------------------------------------- cycle

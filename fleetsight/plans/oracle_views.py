@@ -229,7 +229,7 @@ VIEWS: dict[str, str] = {
   FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY prediction_time DESC) AS newest_no FROM preds1) h WHERE newest_no <= 10""",
     "fc_fit": """
   SELECT f.*, h.failure_probability AS p, h.anomaly_score AS a, (SELECT cpu_usage_percent FROM snaps1 s WHERE s.system_id = f.system_id ORDER BY snapshot_time DESC LIMIT 1) AS cpu_now
-  FROM (SELECT system_id, count(*) AS samples, regr_slope(failure_probability, x) AS slope, regr_r2(failure_probability, x) AS r2 FROM fc_hist GROUP BY 1) f
+  FROM (SELECT system_id, count(*) AS samples, round(regr_slope(failure_probability, x), 12) AS slope, round(regr_r2(failure_probability, x), 12) AS r2 FROM fc_hist GROUP BY 1) f
   JOIN fc_hist h ON h.system_id = f.system_id AND h.newest_no = 1""",
     "forecasts": """
   SELECT *, CASE WHEN p > 0.80 OR (trend = 'rising' AND time_to_failure IS NOT NULL) THEN 'imminent' WHEN p > 0.60 OR trend = 'rising' THEN 'elevated' ELSE 'nominal' END AS risk_level
@@ -259,6 +259,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in _ORDER if name in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
