@@ -23,11 +23,7 @@ PATTERNS = {
 NUMERIC = {"event_record_id": "bigint", "event_id": "bigint", "level": "bigint", "task": "bigint", "opcode": "bigint", "process_id": "bigint", "thread_id": "bigint"}
 DEFAULTS = {"provider_name": "Unknown", "keywords": "0x0", "event_message": ""}
 
-EVENT_XML = (
-    "RenderingInfo struct<Message: string>, "
-    "EventData struct<Data: array<struct<_VALUE: string, _Name: string>>>, "
-    "UserData string"
-)
+EVENT_XML = "RenderingInfo struct<Message: string>, EventData struct<Data: array<struct<_VALUE: string, _Name: string>>>"
 
 
 def extract_metadata(rows: DataFrame, xml: str, as_of: Column | None = None) -> DataFrame:
@@ -46,12 +42,18 @@ def extract_metadata(rows: DataFrame, xml: str, as_of: Column | None = None) ->
     return rows.withColumns(out).filter(F.col("event_record_id").isNotNull())
 
 
-def describe_event(xml: Column) -> Column:
-    """RenderingInfo/Message, else the first three EventData values joined by `` | ``; NULL for broken XML."""
-    parsed = F.from_xml(xml, EVENT_XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true", "valueTag": "_VALUE"})
-    first_three = F.slice(parsed["EventData"]["Data"], 1, 3)
+def with_description(rows: DataFrame, xml: str, out: str) -> DataFrame:
+    """RenderingInfo/Message, else the first three EventData values joined by `` | ``; NULL for broken XML.
+
+    The one-element explode makes sure each text is parsed once, not once per use of the parsed struct.
+    """
+    text = F.col(xml)
+    filled = F.when(F.length(F.trim(text)) > 0, text)
+    parsed = F.from_xml(filled, EVENT_XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true", "valueTag": "_VALUE"})
+    e = F.col("__xml")
+    first_three = F.slice(e["EventData"]["Data"], 1, 3)
     # Elements without text are skipped after the cut to three, not before it.
     texts = F.filter(F.transform(first_three, lambda d: F.trim(d["_VALUE"])), lambda t: t.isNotNull())
     joined = F.nullif(F.array_join(texts, " | "), F.lit(""))
-    message = parsed["RenderingInfo"]["Message"]
-    return F.when(F.length(F.trim(F.coalesce(xml, F.lit("")))) > 0, F.coalesce(F.trim(message), joined))
+    opened = rows.select("*", F.explode(F.array(parsed)).alias("__xml"))
+    return opened.withColumn(out, F.coalesce(F.trim(e["RenderingInfo"]["Message"]), joined)).drop("__xml")

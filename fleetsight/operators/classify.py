@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.functions.severity import level_name
-from fleetsight.functions.xml import describe_event
+from fleetsight.functions.xml import with_description
 from fleetsight.operators.shaping import collected_level
 from fleetsight.schemas import CPU_ALERT, DISK_ALERT, MEMORY_ALERT
 
@@ -294,9 +294,9 @@ def detect_errors(events: DataFrame, xml: str | None = "raw_xml") -> DataFrame:
     """Events of level 1 to 3 with title, diagnosis, causes and solutions from the knowledge base or keywords."""
     have = set(events.columns)
     rows = events.filter(collected_level(F.col("level")))
-    description = describe_event(F.col(xml)) if xml and xml in have else F.lit(None).cast("string")
+    rows = with_description(rows, xml, "__raw_desc") if xml and xml in have else rows.withColumn("__raw_desc", F.lit(None).cast("string"))
     code = "event_code" if "event_code" in have else "event_id"
-    rows = rows.withColumns({"provider_name": F.coalesce("provider_name", F.lit("")), "__desc": F.coalesce(description, F.lit(""))})
+    rows = rows.withColumns({"provider_name": F.coalesce("provider_name", F.lit("")), "__desc": F.coalesce("__raw_desc", F.lit(""))})
     rows = rows.withColumn("__code", F.coalesce(F.col(code), F.lit(0)))
     rows = with_knowledge(rows, "provider_name", "__code")
     rows = classify_unknown(rows, F.col("provider_name"), F.col("__desc"), F.col("__code"))

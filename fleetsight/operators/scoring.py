@@ -160,8 +160,14 @@ def fit_forest(
         share = wanted / n
         bits = F.pmod(F.xxhash64(F.col("rid"), F.lit(seed), F.lit("pool")), F.lit(1 << 32))
         pool = pool.filter(bits < F.lit(int(share * (1 << 32))))
+    pooled = min(n, wanted)
+    # The pool is small and bounded, but it is about to grow by the number of trees: spread it first.
+    pool = pool.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     spread = spread.withColumn("h", F.xxhash64("rid", "tree", F.lit(seed)))
+    if pooled > 4 * size:
+        # Keep about twice the rows a tree needs, by hash, so that only those are ranked.
+        spread = spread.filter(F.pmod(F.col("h"), F.lit(1 << 32)) < F.lit(int(2 * size / pooled * (1 << 32))))
     sample = latest_per_key(spread, ["tree"], F.col("h"), F.col("rid"), n=size)
     limit = int(np.ceil(np.log2(max(size, 2))))
 
@@ -209,7 +215,8 @@ def isolation_forest(
     seed: int = MODEL_SEED,
 ) -> DataFrame:
     """Adds ``anomaly_score`` in [0, 1] (1 = most anomalous) and ``is_anomaly`` (beyond the contamination cut)."""
-    scaled = standardize(snapshots, columns)
+    rows = snapshots.persist()  # read by the moments, the sample and the scoring pass
+    scaled = standardize(rows, columns)
     z = [f"z_{c}" for c in columns]
     forest, size = fit_forest(scaled, row_id, z, trees, seed)
     scored = forest_scores(scaled, forest, size, z).persist()

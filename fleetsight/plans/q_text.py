@@ -81,7 +81,7 @@ DESCRIBED = """CASE WHEN fault_subtype IS NULL THEN NULL WHEN severity = 'CRITIC
 
 @query("f08_xml_description", f"SELECT id, {DESCRIBED} AS description FROM tel")
 def _(t):
-    return t.tel.select("id", xml.describe_event(event_xml()).alias("description"))
+    return xml.with_description(t.tel.select("id", event_xml().alias("raw_xml")), "raw_xml", "description").drop("raw_xml")
 
 
 def keyword_sql(expr: str, position: int) -> str:

@@ -32,6 +32,8 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call-site capture costs several driver round trips per column expression; plans here have hundreds.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = prepare(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.functions.ordered import latest_per_key
 from fleetsight.operators import features, scoring
-from fleetsight.schemas import PERCENT, RAW_EVENTS, CONFIDENCE
+from fleetsight.schemas import RAW_EVENTS
 from fleetsight.session import prepare
 
 DAY = 24 * 3600
@@ -40,49 +41,38 @@ RULES_DDL = (
 )
 
 
-def _by_kind(position: int, otherwise):
-    expr = None
-    for kind in EVENT_KINDS:
-        hit = F.col("event_type") == kind[0]
-        expr = F.when(hit, kind[position]) if expr is None else expr.when(hit, kind[position])
-    return expr.otherwise(otherwise)
+def _by_kind(position: int, otherwise: str) -> str:
+    whens = " ".join(f"WHEN '{k[0]}' THEN {k[position]!r}" for k in EVENT_KINDS)
+    return f"CASE event_type {whens} ELSE {otherwise} END"
+
+
+READING = "try_cast(regexp_extract(props, '([0-9]+)', 1) AS int) % 101"
+SEVERITY = (
+    "CASE WHEN event_type = 'error' AND value >= 20 THEN {0} WHEN event_type = 'error' THEN {1} "
+    "WHEN event_type IN ('purchase', 'signup') THEN {2} ELSE {3} END"
+)
 
 
 def telemetry(raw: DataFrame) -> DataFrame:
     """One narrow projection: no shuffle, and filters on ``ingested_at`` reach the scan as filters on ``ts``."""
-    is_error = F.col("event_type") == "error"
-    severity = (
-        F.when(is_error & (F.col("value") >= 20), "CRITICAL")
-        .when(is_error, "ERROR")
-        .when(F.col("event_type").isin("purchase", "signup"), "WARNING")
-        .otherwise("INFO")
-    )
-    reading = F.regexp_extract("props", "([0-9]+)", 1).try_cast("int") % 101
-    user = F.col("user_id").cast("string")
-    return raw.select(
-        F.col("event_id").alias("id"),
-        F.concat(F.lit("SYS-"), F.lpad(user, 4, "0")).alias("system_id"),
-        F.when(F.col("user_id") % 10 == 0, "")
-        .otherwise(F.concat(F.lit("host-"), (F.col("user_id") % 40).cast("string")))
-        .alias("hostname"),
-        F.lit("System").alias("log_channel"),
-        _by_kind(1, "App-Host").alias("provider_name"),
-        _by_kind(2, 1000).alias("event_code"),
-        severity.alias("severity"),
-        F.when(severity == "CRITICAL", 1).when(severity == "ERROR", 2).when(severity == "WARNING", 3).otherwise(4).alias("level"),
-        _by_kind(3, "UNKNOWN").alias("fault_type"),
-        F.when(F.col("event_id") % 5 == 0, F.lit(None))
-        .otherwise(F.concat(F.lit("sub"), (F.col("event_id") % 3).cast("string")))
-        .alias("fault_subtype"),
-        F.least(F.col("value"), F.lit(100.0)).cast(PERCENT).alias("cpu_usage_percent"),
-        reading.cast(PERCENT).alias("memory_usage_percent"),
-        (F.lit(100) - reading).cast(PERCENT).alias("disk_free_percent"),
-        F.when(F.col("event_id") % 7 == 0, F.lit(None))
-        .otherwise(((F.col("event_id") % 100).cast(PERCENT) / 100).cast(CONFIDENCE))
-        .alias("confidence_score"),
-        F.col("props").alias("diagnostic_context"),
-        F.concat(F.col("event_type"), F.lit(" on user "), user).alias("event_message"),
-        F.col("ts").alias("ingested_at"),
+    return raw.selectExpr(
+        "event_id AS id",
+        "concat('SYS-', lpad(cast(user_id AS string), 4, '0')) AS system_id",
+        "CASE WHEN user_id % 10 = 0 THEN '' ELSE concat('host-', cast(user_id % 40 AS string)) END AS hostname",
+        "'System' AS log_channel",
+        f"{_by_kind(1, "'App-Host'")} AS provider_name",
+        f"{_by_kind(2, '1000')} AS event_code",
+        f"{SEVERITY.format("'CRITICAL'", "'ERROR'", "'WARNING'", "'INFO'")} AS severity",
+        f"{SEVERITY.format(1, 2, 3, 4)} AS level",
+        f"{_by_kind(3, "'UNKNOWN'")} AS fault_type",
+        "CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('sub', cast(event_id % 3 AS string)) END AS fault_subtype",
+        "cast(least(value, 100D) AS decimal(5,2)) AS cpu_usage_percent",
+        f"cast({READING} AS decimal(5,2)) AS memory_usage_percent",
+        f"cast(100 - {READING} AS decimal(5,2)) AS disk_free_percent",
+        "CASE WHEN event_id % 7 = 0 THEN NULL ELSE cast(cast(event_id % 100 AS decimal(5,2)) / 100 AS decimal(3,2)) END AS confidence_score",
+        "props AS diagnostic_context",
+        "concat(event_type, ' on user ', cast(user_id AS string)) AS event_message",
+        "ts AS ingested_at",
     )
 
 
@@ -101,44 +91,47 @@ def heartbeats(tel: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Lazy access to the tables under one directory."""
+    """Lazy access to the tables under one directory; every plan is built once per instance."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
         self.dir = sf_dir
-        self._as_of: datetime | None = None
+        self._snaps: dict[int, DataFrame] = {}
+        self._preds: dict[int, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
 
-    @property
+    @cached_property
     def raw_events(self) -> DataFrame:
         return self.spark.read.schema(RAW_EVENTS).parquet(os.path.join(self.dir, "events.parquet"))
 
-    @property
+    @cached_property
     def as_of(self) -> datetime:
         """Newest event time. One number is brought to the driver so that windows are literals and prune the scan."""
-        if self._as_of is None:
-            text = self.raw_events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-            self._as_of = datetime.strptime(text, "%Y-%m-%d %H:%M:%S.%f")
-        return self._as_of
+        text = self.raw_events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        return datetime.strptime(text, "%Y-%m-%d %H:%M:%S.%f")
 
-    @property
+    @cached_property
     def tel(self) -> DataFrame:
         return telemetry(self.raw_events)
 
-    @property
+    @cached_property
     def hb(self) -> DataFrame:
         return heartbeats(self.tel)
 
     def snaps(self, window_seconds: int = DAY) -> DataFrame:
         """Feature snapshots, one per host and tumbling window."""
-        return features.windowed_snapshots(self.tel, window_seconds)
+        if window_seconds not in self._snaps:
+            self._snaps[window_seconds] = features.windowed_snapshots(self.tel, window_seconds)
+        return self._snaps[window_seconds]
 
     def preds(self, window_seconds: int = DAY) -> DataFrame:
         """Heuristic predictions, one per snapshot."""
-        return scoring.heuristic_predictions(self.snaps(window_seconds))
+        if window_seconds not in self._preds:
+            self._preds[window_seconds] = scoring.heuristic_predictions(self.snaps(window_seconds))
+        return self._preds[window_seconds]
 
-    @property
+    @cached_property
     def rules(self) -> DataFrame:
         return self.spark.createDataFrame(SAMPLE_RULES, RULES_DDL)
