@@ -189,7 +189,9 @@ def correlation_systems(correlations: DataFrame, incidents: DataFrame, snapshots
     )
     roots = correlations.filter(F.col("root_system").isNotNull()).select(F.col("root_system").alias("system_id"), "correlation_id")
     members = by_fault.unionByName(hot).unionByName(roots).distinct()
-    return members.join(correlations.select("correlation_id"), "correlation_id", "left_semi").select("correlation_id", "system_id")
+    # At most five pattern ids, so they travel as one array value instead of a join side.
+    found = correlations.agg(F.collect_list("correlation_id"))
+    return members.filter(F.array_contains(found.scalar(), F.col("correlation_id"))).select("correlation_id", "system_id")
 
 
 def incident_correlations(incidents: DataFrame, members: DataFrame) -> DataFrame:

@@ -35,13 +35,22 @@ def test_top_n_per_key_is_cut_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
-@pytest.mark.parametrize("name", ["w01_host_gaps", "w02_stream_gaps", "w06_metric_deltas", "s16_chunk_rows", "j07_recent_matches", "a11_minute_trend"])
+@pytest.mark.parametrize("name", ["w01_host_gaps", "w06_metric_deltas", "s16_chunk_rows", "j07_recent_matches"])
 def test_ordered_operators_split_keys_by_time(spark, name):
     """The window over the data is partitioned by (key, chunk); nothing is sent to a single partition."""
     text = plan(spark, name)
     assert "__chunk" in text and "Exchange SinglePartition" not in text
 
 
+@pytest.mark.parametrize("name", ["w02_stream_gaps", "a11_minute_trend"])
+def test_global_order_only_gathers_chunk_borders(spark, name):
+    """Without a key the one gathered input is the table of chunk borders: an aggregate with a row per chunk."""
+    text = plan(spark, name)
+    assert text.count("Exchange SinglePartition") == 1
+    below = text.split("Exchange SinglePartition")[1].splitlines()[1]
+    assert "Aggregate(key=" in below and "__chunk" in below
+
+
 def test_newest_n_is_a_top_k(spark):
     assert "TakeOrderedAndProject" in plan(spark, "p01_event_search")
 

@@ -8,6 +8,14 @@ from fleetsight.plans.derived import SECRET, messages
 from fleetsight.streaming import jobs, sources
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_state_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def message_dir(spark, tables, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("msgs") / "in")
