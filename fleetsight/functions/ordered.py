@@ -103,7 +103,7 @@ def trailing_count(
     return counted.filter(F.col("__home") == F.col("__chunk")).drop("__us", "__home", "__chunk")
 
 
-def exact_percentile(df: DataFrame, column: str, fraction: float, bins: int = 100_000) -> float | None:
+def exact_percentile(df: DataFrame, column: str, fraction: float, bins: int = 10_000) -> float | None:
     """Linear-interpolated percentile of a numeric column, without sorting it in one task.
 
     A first pass counts rows per equal-width bin (at most ``bins`` rows come out); the wanted ranks lie in one or
@@ -121,7 +121,7 @@ def exact_percentile(df: DataFrame, column: str, fraction: float, bins: int = 10
     valued = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), bin_of.alias("b"))
     counts = valued.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     seen, wanted = 0, {}
-    for row in counts.orderBy("b").toLocalIterator():
+    for row in sorted(counts.collect(), key=lambda r: r["b"]):
         for r in ranks:
             if seen <= r < seen + row["n"]:
                 wanted[r] = (row["b"], r - seen, row["n"], row["lo"], row["hi"])

@@ -112,15 +112,11 @@ def roll_up_with_acks(candidates: DataFrame, acks: DataFrame, default_cooldown:
     map-side combine, and the episode numbers come from a running sum over those few rows.
     """
     cooldown = F.coalesce(F.nullif("cooldown_minutes", F.lit(0)), F.lit(default_cooldown)) if "cooldown_minutes" in acks.columns else F.lit(default_cooldown)
-    born = candidates.join(acks.select("alert_key").distinct(), "alert_key", "left_semi").groupBy("alert_key").agg(F.min("seen_at").alias("born"))
     by_key = Window.partitionBy("alert_key").orderBy("acked_at")
     log = (
         acks.withColumn("cool", cooldown)
         .groupBy("alert_key", "acked_at")
         .agg(F.max("cool").alias("cool"))
-        .join(born, "alert_key")
-        .filter(F.col("acked_at") >= F.col("born"))
-        .drop("born")
         .withColumn("ack_no", F.row_number().over(by_key))
         .withColumn("next_ack", F.lead("acked_at").over(by_key))
         .withColumn("until", F.col("acked_at") + F.make_dt_interval(mins=F.col("cool")))
@@ -145,10 +141,15 @@ def roll_up_with_acks(candidates: DataFrame, acks: DataFrame, default_cooldown:
         F.min_by(F.struct(*_FIXED), place).alias("first"),
         F.max_by(F.struct(*_FRESH), place).alias("last"),
     )
-    # Suppressed rows sort before the new ones of the same interval, so a running count of new groups is the episode.
-    steps = Window.partitionBy("alert_key").orderBy("ack_no", F.col("suppressed").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("episode", F.sum(F.when(F.col("suppressed"), 0).otherwise(1)).over(steps))
-    new = ~F.col("suppressed")
+    # Suppressed rows sort before the new ones of the same interval. A key's very first row opens an episode even if
+    # an early acknowledgement seems to suppress it: there was no alert yet. The new rows after it then only continue.
+    order = Window.partitionBy("alert_key").orderBy("ack_no", F.col("suppressed").desc())
+    parts = parts.withColumn("premature", (F.row_number().over(order) == 1) & F.col("suppressed"))
+    continues = F.coalesce(F.lag("premature").over(order) & (F.lag("ack_no").over(order) == F.col("ack_no")), F.lit(False))
+    opens = F.col("premature") | (~F.col("suppressed") & ~continues)
+    parts = parts.withColumn("opens", opens.cast("int"))
+    parts = parts.withColumn("episode", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    new = ~F.col("suppressed") | F.col("premature")
     rows = parts.groupBy("alert_key", "episode").agg(
         F.min_by(F.when(new, F.col("first")), F.when(new, F.col("lo"))).alias("first"),
         F.max_by(F.when(new, F.col("last")), F.when(new, F.col("hi"))).alias("last"),

@@ -38,6 +38,7 @@ COUNTED_FIELDS = [
 ]
 
 MAX_RULE_FIELDS = 1000
+NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
 def parse_rules(rules: DataFrame, fix_double_equals: bool = False) -> DataFrame:
@@ -71,9 +72,20 @@ def context_value(events: DataFrame, name: str, fields: list[str] = LIVE_FIELDS)
     return F.trim(F.get_json_object("diagnostic_context", f"$['{name}']"))
 
 
-def condition_holds(actual: Column, op: Column, expected: Column) -> Column:
-    """``contains`` ignores case; two numbers compare as numbers, anything else as lower-cased text."""
-    a, b = number_from_text(actual), number_from_text(expected)
+def context_number(events: DataFrame, name: str, fields: list[str] = LIVE_FIELDS) -> Column:
+    """Numeric value of a field, NULL if its text is not a number. Numeric columns skip the way through text."""
+    if name in fields and name in events.columns and events.schema[name].dataType.typeName() in NUMERIC:
+        return F.col(name).cast("double")
+    return number_from_text(context_value(events, name, fields))
+
+
+def condition_holds(actual: Column, op: Column, expected: Column, a: Column | None = None, b: Column | None = None) -> Column:
+    """``contains`` ignores case; two numbers compare as numbers, anything else as lower-cased text.
+
+    ``a`` and ``b`` are the two values as numbers if the caller has them already.
+    """
+    a = number_from_text(actual) if a is None else a
+    b = number_from_text(expected) if b is None else b
     ta, tb = F.lower(actual), F.lower(expected)
 
     def compare(x: Column, y: Column) -> Column:
@@ -107,10 +119,16 @@ def match_rules(
     if len(names) > MAX_RULE_FIELDS:
         raise ValueError(f"rules name more than {MAX_RULE_FIELDS} fields")
     pairs = [
-        F.struct(F.lit(name).alias("field"), context_value(events, name, fields).alias("actual")) for name in sorted(names)
+        F.struct(
+            F.lit(name).alias("field"),
+            context_value(events, name, fields).alias("actual"),
+            context_number(events, name, fields).alias("actual_number"),
+        )
+        for name in sorted(names)
     ]
     if not pairs:
-        pairs = [F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("actual"))]
+        none = F.lit(None)
+        pairs = [F.struct(none.cast("string").alias("field"), none.cast("string").alias("actual"), none.cast("double").alias("actual_number"))]
     values = events.select(*keep, F.inline(F.array(*pairs))).filter(F.col("actual").isNotNull())
     rule_side = parsed.select(
         F.col("id").alias("rule_id"),
@@ -122,9 +140,11 @@ def match_rules(
         "field",
         "op",
         "expected",
+        number_from_text(F.col("expected")).alias("expected_number"),
     )
     joined = values.join(rule_side, "field")
-    return joined.filter(condition_holds(F.col("actual"), F.col("op"), F.col("expected")))
+    holds = condition_holds(F.col("actual"), F.col("op"), F.col("expected"), F.col("actual_number"), F.col("expected_number"))
+    return joined.filter(holds).drop("actual_number", "expected_number")
 
 
 def firing_matches(

@@ -168,6 +168,8 @@ def fit_forest(
     if pooled > 4 * size:
         # Keep about twice the rows a tree needs, by hash, so that only those are ranked.
         spread = spread.filter(F.pmod(F.col("h"), F.lit(1 << 32)) < F.lit(int(2 * size / pooled * (1 << 32))))
+    # A fixed number of partitions: AQE would merge these small groups and grow every tree in one task.
+    spread = spread.repartition(min(trees, max(8, rows.sparkSession.sparkContext.defaultParallelism)), "tree")
     sample = latest_per_key(spread, ["tree"], F.col("h"), F.col("rid"), n=size)
     limit = int(np.ceil(np.log2(max(size, 2))))
 
