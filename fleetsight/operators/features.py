@@ -37,6 +37,29 @@ def stat_columns() -> list[Column]:
     ]
 
 
+def combined_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics per key in two hash aggregates.
+
+    ``mode`` keeps a map per group and falls back to sorting its input once a task sees more than a few groups.
+    Counting per (key, fault) first needs only fixed-width buffers, so the pass over the data stays a hash
+    aggregate; the second level sees one row per key and fault. Ties of the dominant fault go to the smaller name.
+    """
+    confidence = F.coalesce(F.col("confidence_score"), F.lit(0.20).cast(CONFIDENCE))
+    per_fault = rows.groupBy(*keys, "fault_type").agg(
+        F.count(F.lit(1)).alias("n"), *severity_counts(), F.sum(confidence).alias("confidence")
+    )
+    names = ["critical_count", "error_count", "warning_count", "info_count"]
+    known = F.col("fault_type").isNotNull()
+    place = F.when(known, F.struct((-F.col("n")).alias("rank"), F.col("fault_type").alias("name")))
+    mean = F.round(F.try_divide(F.sum("confidence"), F.sum("n")), 2).cast(CONFIDENCE)
+    return per_fault.groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names],
+        F.coalesce(F.min(place)["name"], F.lit("NONE")).alias("dominant_fault_type"),
+        F.coalesce(mean, F.lit(0.20).cast(CONFIDENCE)).alias("avg_confidence"),
+    )
+
+
 def feature_stats(
     events: DataFrame, as_of, lookback_seconds: float = FEATURE_LOOKBACK_SECONDS, systems: DataFrame | None = None
 ) -> DataFrame:
@@ -44,17 +67,13 @@ def feature_stats(
     recent = events.filter(in_window(F.col("ingested_at"), as_of, lookback_seconds))
     if systems is not None:
         recent = recent.join(systems.select("system_id"), "system_id", "left_semi")
-    stats = recent.groupBy("system_id").agg(*stat_columns())
-    return stats.withColumn("dominant_fault_type", F.coalesce("dominant_fault_type", F.lit("NONE")))
+    return combined_stats(recent, ["system_id"])
 
 
 def host_feature_stats(events: DataFrame, system_id: str, as_of, lookback_seconds: float = FEATURE_LOOKBACK_SECONDS) -> DataFrame:
     """Single-host form: always one row, zeros when the host was silent."""
     mine = events.filter((F.col("system_id") == system_id) & in_window(F.col("ingested_at"), as_of, lookback_seconds))
-    stats = mine.agg(*stat_columns())
-    return stats.fillna({"dominant_fault_type": "NONE"}).withColumn(
-        "avg_confidence", F.coalesce("avg_confidence", F.lit(0.20).cast(CONFIDENCE))
-    )
+    return combined_stats(mine, [])
 
 
 def zero_filled(heartbeats: DataFrame, stats: DataFrame) -> DataFrame:

@@ -57,3 +57,10 @@ def test_newest_n_is_a_top_k(spark):
 
 def test_report_counters_scan_once(spark):
     assert plan(spark, "a13_report_counters").count("FileScan") == 1
+
+
+def test_feature_statistics_hash_aggregate_the_data(spark):
+    """The pass over the events is a hash aggregate; sorting is left to the small second level."""
+    text = plan(spark, "a01_feature_stats_all_hosts")
+    scan_side = text.split("Exchange")[-1]
+    assert "HashAggregate" in scan_side and "SortAggregate" not in scan_side and "ObjectHashAggregate" not in scan_side
