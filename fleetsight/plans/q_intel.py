@@ -232,25 +232,34 @@ def _pattern(t, name, inc=None):
     return rows.filter(F.col("correlation_id") == name).select(*CORR_OUT)
 
 
-@query("c01_storage_api_cascade", f"""
+C01 = f"""
 WITH d AS ({FIRST.format(role_sql(WORDS["db"]))}), a AS ({FIRST.format(role_sql(WORDS["api"]))})
 SELECT 'corr-db-api-cascade' AS correlation_id, d.fault_type || ' on ' || d.system_id || ' caused downstream API failures' AS root_cause, d.system_id AS root_system,
- CAST(CASE WHEN d.created_at <= a.created_at THEN 0.72 ELSE 0.48 END + CASE WHEN EXISTS (SELECT 1 FROM snaps7 s WHERE s.system_id = d.system_id AND critical_count > 5) THEN 0.1 ELSE 0 END AS DOUBLE) AS confidence FROM d, a""")
+ CAST(CASE WHEN d.created_at <= a.created_at THEN 0.72 ELSE 0.48 END + CASE WHEN EXISTS (SELECT 1 FROM snaps7 s WHERE s.system_id = d.system_id AND critical_count > 5) THEN 0.1 ELSE 0 END AS DOUBLE) AS confidence FROM d, a"""
+
+
+@query("c01_storage_api_cascade", C01)
 def _(t):
     return _pattern(t, "corr-db-api-cascade")
 
 
-@query("c02_cpu_exhaustion", """
+C02 = """
 WITH h AS (SELECT system_id, max(snapshot_time) AS hot_at FROM snaps7 WHERE cpu_usage_percent > 85 GROUP BY 1)
 SELECT 'corr-cpu-exhaustion' AS correlation_id, 'CPU exhaustion causing cascading service degradation' AS root_cause, (SELECT system_id FROM h ORDER BY hot_at DESC, system_id DESC LIMIT 1) AS root_system,
- round(least(0.65 + ((SELECT avg(CAST(cpu_usage_percent AS DOUBLE)) FROM hb) - 80)/100, 0.9), 6) AS confidence WHERE (SELECT count(*) FROM incidents i JOIN h ON h.system_id = i.system_id) > 0 AND (SELECT avg(CAST(cpu_usage_percent AS DOUBLE)) FROM hb) >= 20""")
+ round(least(0.65 + ((SELECT avg(CAST(cpu_usage_percent AS DOUBLE)) FROM hb) - 80)/100, 0.9), 6) AS confidence WHERE (SELECT count(*) FROM incidents i JOIN h ON h.system_id = i.system_id) > 0 AND (SELECT avg(CAST(cpu_usage_percent AS DOUBLE)) FROM hb) >= 20"""
+
+
+@query("c02_cpu_exhaustion", C02)
 def _(t):
     return _pattern(t, "corr-cpu-exhaustion")
 
 
-@query("c03_network_degradation", f"""
+C03 = f"""
 SELECT 'corr-network-degradation' AS correlation_id, 'External network degradation affecting multiple systems' AS root_cause, CAST(NULL AS VARCHAR) AS root_system, CAST(least(0.55 + 0.05*count(*), 0.9) AS DOUBLE) AS confidence
-FROM incidents WHERE {role_sql(WORDS["network"])} HAVING count(*) >= 2 AND count(DISTINCT system_id) >= 2""")
+FROM incidents WHERE {role_sql(WORDS["network"])} HAVING count(*) >= 2 AND count(DISTINCT system_id) >= 2"""
+
+
+@query("c03_network_degradation", C03)
 def _(t):
     return _pattern(t, "corr-network-degradation")
 
@@ -276,25 +285,30 @@ def _(t):
     return correlation.common_systems(_one_host(t))
 
 
-@query("c05_auth_after_crash", f"""
+C05 = f"""
 WITH c AS ({FIRST.format(role_sql(WORDS["crash"]))}), a AS ({LAST.format(role_sql(WORDS["auth"]))})
 SELECT 'corr-auth-after-crash' AS correlation_id, 'Service crash on ' || c.system_id || ' caused auth token invalidation' AS root_cause, c.system_id AS root_system, 0.68::DOUBLE AS confidence
-FROM c, a WHERE c.created_at <= a.created_at AND (epoch_us(a.created_at) - epoch_us(c.created_at))/60000000.0 <= 43200""")
+FROM c, a WHERE c.created_at <= a.created_at AND (epoch_us(a.created_at) - epoch_us(c.created_at))/60000000.0 <= 43200"""
+
+
+@query("c05_auth_after_crash", C05)
 def _(t):
     return _pattern(t, "corr-auth-after-crash")
 
 
-@query("c06_correlations", """
-SELECT * FROM (VALUES ('corr-db-api-cascade','db_api_cascade'),('corr-cpu-exhaustion','cpu_exhaustion'),('corr-network-degradation','network_degradation'),('corr-auth-after-crash','auth_after_crash')) v(correlation_id, pattern)
-WHERE (SELECT count(*) FROM incidents) > 0""")
+C04 = """SELECT 'corr-isolated-node' AS correlation_id FROM incidents HAVING count(DISTINCT system_id) = 1 AND count(*) >= 2"""
+FOUND = " UNION ALL ".join(f"SELECT correlation_id FROM ({part}) c" for part in (C01, C02, C03, C04, C05))
+
+
+@query("c06_correlations", f"SELECT correlation_id, replace(substr(correlation_id, 6), '-', '_') AS pattern FROM ({FOUND}) f")
 def _(t):
     return _correlations(t, _incidents(t)).select("correlation_id", "pattern")
 
 
 MEMBERS = f"""
-SELECT DISTINCT 'corr-db-api-cascade' AS correlation_id, system_id FROM incidents WHERE {role_sql(WORDS["db"])} OR {role_sql(WORDS["api"])} UNION SELECT 'corr-network-degradation', system_id FROM incidents WHERE {role_sql(WORDS["network"])}
+SELECT * FROM (SELECT DISTINCT 'corr-db-api-cascade' AS correlation_id, system_id FROM incidents WHERE {role_sql(WORDS["db"])} OR {role_sql(WORDS["api"])} UNION SELECT 'corr-network-degradation', system_id FROM incidents WHERE {role_sql(WORDS["network"])}
 UNION SELECT 'corr-auth-after-crash', system_id FROM incidents WHERE {role_sql(WORDS["crash"])} OR {role_sql(WORDS["auth"])} UNION SELECT 'corr-cpu-exhaustion', system_id FROM incidents WHERE system_id IN (SELECT system_id FROM snaps7 WHERE cpu_usage_percent > 85)
-UNION SELECT 'corr-cpu-exhaustion', system_id FROM (SELECT system_id FROM snaps7 WHERE cpu_usage_percent > 85 ORDER BY snapshot_time DESC, system_id DESC LIMIT 1) r"""
+UNION SELECT 'corr-cpu-exhaustion', system_id FROM (SELECT system_id FROM snaps7 WHERE cpu_usage_percent > 85 ORDER BY snapshot_time DESC, system_id DESC LIMIT 1) r) m WHERE correlation_id IN (SELECT correlation_id FROM ({FOUND}) f)"""
 
 
 @query("c06_affected_systems", MEMBERS)
