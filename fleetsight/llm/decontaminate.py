@@ -176,6 +176,13 @@ def contamination(found: DataFrame) -> DataFrame:
     })
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that the rule of ``contamination`` does not call contaminated, with the columns of ``docs`` as they are."""
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    found = find_benchmark(docs.toDF(*names), benchmark, names, text_col=names[docs.columns.index(text_col)])
+    return contamination(found).where("not contaminated").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
+
+
 def digest(items: list[str]) -> str:
     """The digest that ``contamination`` gives, for one list of ids."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

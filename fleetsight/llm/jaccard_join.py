@@ -321,8 +321,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     naming id come back repeated.
     """
     found = jaccard_components(docs, id_col, text_col)
-    stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("stay_id")).distinct()
+    stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
     words = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) > 0
-    named = docs.where(words & F.col(id_col).isNotNull())
-    kept = named.join(stays, named[id_col] == stays["stay_id"], "left_semi")
-    return kept.unionByName(docs.where(~words | F.col(id_col).isNull()))
+    matched = docs.join(stays, docs[id_col] == F.col("__stay"), "left")
+    return matched.where(F.col("__stay").isNotNull() | docs[id_col].isNull() | ~words).drop("__stay")
