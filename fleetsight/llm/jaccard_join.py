@@ -220,12 +220,12 @@ def _survivors(num: int, den: int):
     return run
 
 
-def _overlapping(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps counted per fragment, then summed."""
-    left = segments.select(F.col("cid").alias("a"), F.col("n").alias("na"), "frag", F.col("toks").alias("ta"))
-    right = segments.select(F.col("cid").alias("b"), F.col("n").alias("nb"), "frag", F.col("toks").alias("tb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("k"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+def _overlapping(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link: a partial overlap per vertical fragment, then their sum."""
+    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("fragments").alias("fa"))
+    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("fragments").alias("fb"))
+    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
+    summed = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda t, k: t + k).alias("k"))
     return summed.where(F.col("k") * den >= num * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
 
@@ -253,14 +253,16 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_class = rows.repartition(parts, "cls").sortWithinPartitions("cls")
     alive = written(by_class.mapInArrow(_survivors(num, den), "cid long, n int, toks array<long>, prefix array<long>"), "jaccard-alive")
 
-    segments = alive.select("cid", "n", F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1))).alias("frag"), "toks").select(
-        "cid", "n", "frag", F.filter("toks", lambda t: F.pmod(t, F.lit(OVERLAP_FRAGMENTS)) == F.col("frag")).alias("toks")
-    )
-    postings = alive.select("cid", "n", F.explode("prefix").alias("token"))
+    fragments = F.transform(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1)), lambda f: F.filter("toks", lambda t: F.pmod(t, F.lit(OVERLAP_FRAGMENTS)) == f))
+    sets = alive.select("cid", "n", fragments.alias("fragments"))
+    # left: how many shingles of the class stand at this one or after it in the global order
+    postings = alive.select("cid", "n", F.size("toks").alias("left"), F.posexplode("prefix").alias("at", "token")).withColumn("left", F.col("left") - F.col("at")).drop("at")
     alone = postings.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("token")
     postings = written(postings.join(alone, "token"), "jaccard-postings")
 
-    near = (F.least("n", "m") * den >= F.greatest("n", "m") * num) & (F.col("cid") != F.col("hub"))
+    # a shared shingle is the first one that two linked sets share only if what follows it in both can make up the overlap
+    enough = F.least("left", "hub_left") * (num + den) >= (F.col("n") + F.col("m")) * num
+    near = enough & (F.least("n", "m") * den >= F.greatest("n", "m") * num) & (F.col("cid") != F.col("hub"))
     links, comps, turn, found_some = None, None, 0, True
     while True:
         if comps is None:
@@ -273,15 +275,15 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 break
         in_full = turn == HUB_ROUNDS or not found_some
         if in_full:
-            hubs = open_.select("token", F.col("cid").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("hub_comp"))
+            hubs = open_.select("token", F.col("cid").alias("hub"), F.col("n").alias("m"), F.col("left").alias("hub_left"), F.col("comp").alias("hub_comp"))
         else:
             # another hub each turn: the smallest of the ids as scrambled by the turn, the same for all its shingles
             mark = F.col("cid") if turn == 0 else F.xxhash64("cid", F.lit(turn))
-            hubs = open_.groupBy("token").agg(F.min_by(F.struct("cid", "n", "comp"), mark).alias("h"))
-            hubs = hubs.select("token", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"))
+            hubs = open_.groupBy("token").agg(F.min_by(F.struct("cid", "n", "left", "comp"), mark).alias("h"))
+            hubs = hubs.select("token", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.left").alias("hub_left"), F.col("h.comp").alias("hub_comp"))
         met = open_.join(hubs, "token").where(near & (F.col("comp") < F.col("hub_comp") if in_full else F.col("comp") != F.col("hub_comp")))
         pairs = met.select(F.least("cid", "hub").alias("b"), F.greatest("cid", "hub").alias("a")).distinct()
-        found = written(_overlapping(pairs, segments, num, den), "jaccard-links")
+        found = written(_overlapping(pairs, sets, num, den), "jaccard-links")
         found_some = not found.isEmpty()
         if found_some or links is None:
             links = found if links is None else links.unionByName(found)
