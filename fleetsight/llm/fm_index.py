@@ -23,7 +23,7 @@ def suffix_order(text: np.ndarray, bits: int) -> np.ndarray:
     closed = np.zeros(n, dtype=bool)  # a separator has been met: what follows does not count
     for k in range(width):
         part = np.zeros(n, dtype=np.int64)
-        part[: n - k] = text[k:]
+        part[: max(n - k, 0)] = text[k:]
         part[closed] = 0
         key = (key << bits) | part
         closed |= part == 0

@@ -29,8 +29,10 @@ TRAIN_ROWS = 20_000
 #: One training row in so many calibrates; the others score tokens.
 CALIBRATION_SHARE = 4
 #: Weight of the prior, as a share of all training tokens.
-PRIOR = 0.1
-SHRINK = 2.0
+PRIOR = 1.0
+SHRINK = 1.0
+#: Tokens seen less often in the training texts have no weight of their own.
+LEAST_SEEN = 3
 DRIFT = 0.2
 #: A segment is significant if so few are expected by chance in a clean text.
 E_VALUE = 1.0
@@ -209,9 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model of a bounded sample of labelled documents. Without labels of both kinds every text scores alike."""
     train = training_rows(docs, labels, id_col, text_col, label_col, rows)
     counted = train.where("fold <> 0").select("text", "label").mapInArrow(_counted, "word string, toxic long, clean long")
-    # a word seen once or twice cannot pass the shrinkage, so it stays on the executors; totals keep all words
+    # rare words are summed up on the executors; totals keep all words
     counts = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.withColumn("word", F.when(F.col("toxic") + F.col("clean") > 2, F.col("word")).otherwise(""))
+    counts = counts.withColumn("word", F.when(F.col("toxic") + F.col("clean") >= LEAST_SEEN, F.col("word")).otherwise(""))
     toxic, clean = Counter(), Counter()
     for word, t, c in counts.groupBy("word").agg(F.sum("toxic"), F.sum("clean")).collect():
         toxic[word], clean[word] = t, c
