@@ -45,13 +45,13 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
-def bounded_limit(n, default: int = 100, low: int = 1, high: int = 1000) -> int:
-    """Row limits are clamped to 1..1000; anything that is not a number means 100."""
+def bounded_limit(n, default: int = 100, low: int = 1, high: int | None = None) -> int:
+    """A row limit as given, at least ``low``; anything that is not a number means the default."""
     try:
         n = int(n)
     except (TypeError, ValueError):
         n = default
-    return max(low, min(n, high))
+    return max(low, n if high is None else min(n, high))
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:

@@ -178,8 +178,8 @@ def roll_up_with_acks(candidates: DataFrame, acks: DataFrame, default_cooldown:
     )
 
 
-def backfill_native(events: DataFrame, alerts: DataFrame | None = None, limit: int | None = 500) -> DataFrame:
-    """Alerts from the newest severe events: newest event per key, unless the key has an active alert."""
+def backfill_native(events: DataFrame, alerts: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Alerts from severe events (all, or the newest ``limit``): newest event per key, unless the key has an active alert."""
     severe = events.filter(F.col("severity").isin(*SEVERE)).withColumn("hostname", host_label())
     if limit:
         severe = severe.orderBy(F.col("ingested_at").desc(), F.col("id").desc()).limit(limit)
@@ -204,11 +204,11 @@ def backfill_rules(
     as_of,
     alerts: DataFrame | None = None,
     lookback_seconds: float = RULE_LOOKBACK_SECONDS,
-    limit: int | None = 500,
+    limit: int | None = None,
 ) -> DataFrame:
     """Seed alerts for rules: matches of the recent events per (rule, host) that reach the threshold.
 
-    ``limit`` keeps the newest events only, as the reference does; None evaluates the whole window.
+    The whole window is evaluated unless ``limit`` asks for its newest events only.
     """
     recent = events.filter(in_window(F.col("ingested_at"), as_of, lookback_seconds, inclusive=True))
     recent = recent.withColumn("hostname", host_label())

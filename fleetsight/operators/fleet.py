@@ -21,7 +21,7 @@ def _status(rows: DataFrame, as_of) -> DataFrame:
     )
 
 
-def fleet_from_snapshots(heartbeats: DataFrame, snapshots: DataFrame, as_of, critical_seconds: float = HOUR, limit: int | None = 1000) -> DataFrame:
+def fleet_from_snapshots(heartbeats: DataFrame, snapshots: DataFrame, as_of, critical_seconds: float = HOUR, limit: int | None = None) -> DataFrame:
     """Heartbeats with the total of all snapshots and the criticals of the last hour.
 
     Both totals come from one conditional aggregate, so the snapshot table is read and shuffled once.
@@ -35,7 +35,7 @@ def fleet_from_snapshots(heartbeats: DataFrame, snapshots: DataFrame, as_of, cri
 
 
 def fleet_from_events(
-    heartbeats: DataFrame, events: DataFrame, as_of, total_seconds: float = 24 * HOUR, critical_seconds: float = HOUR, limit: int | None = 1000
+    heartbeats: DataFrame, events: DataFrame, as_of, total_seconds: float = 24 * HOUR, critical_seconds: float = HOUR, limit: int | None = None
 ) -> DataFrame:
     """The same list straight from events, for a fleet that has no snapshots yet."""
     recent = in_window(F.col("ingested_at"), as_of, critical_seconds)
@@ -80,7 +80,7 @@ def failing_hosts(events: DataFrame, heartbeats: DataFrame, as_of=None, window_m
     return (
         named.select("system_id", F.coalesce("hb_name", "system_id").alias("hostname"), "failure_count")
         .orderBy(F.col("failure_count").desc(), F.col("system_id"))
-        .limit(bounded_limit(limit, 6, 1, 25))
+        .limit(bounded_limit(limit, 6))
     )
 
 
@@ -240,7 +240,7 @@ def cluster_members(predictions: DataFrame) -> DataFrame:
     )
 
 
-def latest_predictions(predictions: DataFrame, limit: int | None = 50, only_anomalies: bool = False) -> DataFrame:
+def latest_predictions(predictions: DataFrame, limit: int | None = None, only_anomalies: bool = False) -> DataFrame:
     """Newest prediction per host; with ``only_anomalies`` the newest anomalous one."""
     rows = predictions.filter("is_anomaly") if only_anomalies else predictions
     newest = latest_per_key(rows, ["system_id"], F.col("prediction_time").desc())

@@ -236,15 +236,15 @@ def resolution_log(incidents: DataFrame) -> DataFrame:
     )
 
 
-def mean_resolution(log: DataFrame, keep: int = 200) -> DataFrame:
-    """Mean resolution time per fault over the newest ``keep`` resolutions."""
-    newest = log.orderBy(F.col("resolved_at").desc(), F.col("incident_id")).limit(keep)
+def mean_resolution(log: DataFrame, keep: int | None = None) -> DataFrame:
+    """Mean resolution time per fault over all resolutions, or the newest ``keep``."""
+    newest = log.orderBy(F.col("resolved_at").desc(), F.col("incident_id")).limit(keep) if keep else log
     return newest.groupBy("fault_type").agg(F.count(F.lit(1)).alias("resolutions"), F.avg("resolution_time_ms").alias("avg_resolution_ms"))
 
 
-def remediation_rates(log: DataFrame, keep: int = 100) -> DataFrame:
-    """Share of successful outcomes per hook over the newest ``keep`` entries."""
-    newest = log.orderBy(F.col("at").desc(), F.col("incident_id"), F.col("hook_id")).limit(keep)
+def remediation_rates(log: DataFrame, keep: int | None = None) -> DataFrame:
+    """Share of successful outcomes per hook over all entries, or the newest ``keep``."""
+    newest = log.orderBy(F.col("at").desc(), F.col("incident_id"), F.col("hook_id")).limit(keep) if keep else log
     return newest.groupBy("hook_id").agg(
         F.count(F.lit(1)).alias("runs"), F.avg(F.when(F.col("outcome") == "success", 1.0).otherwise(0.0)).alias("success_rate")
     )

@@ -4,26 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetsight.functions.clock import before, shift_month
-from fleetsight.functions.coerce import blank_to_null, first_text
+from fleetsight.functions.coerce import INTEGER_TEXT, blank_to_null, first_text, number_from_text
 from fleetsight.functions.ordered import latest_per_key, neighbour_in_time, rank_in_time
 from fleetsight.operators.shaping import host_metric, prepared_rows
-from fleetsight.schemas import ENVELOPE, PERCENT, RETENTION_DAYS
+from fleetsight.schemas import COLLECTED_EVENT, ENVELOPE, PERCENT, RETENTION_DAYS
 
 
 def decode_envelopes(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Parse JSON text; rows that are not an object keep a NULL ``msg`` and go to the dead-letter output.
+    """Parse JSON text; rows that are not one whole object are no ``is_object`` and go to the dead-letter output.
+
+    Entries of ``events`` that are no object are dropped, the others kept; numbers may come as text.
 
     The parsed struct comes out of a one-element explode: a generator keeps Catalyst from copying ``from_json``
     into every later use of one of its fields, so each message is parsed once.
     """
     raw = F.col(value).cast("string")
-    parsed = F.explode(F.array(F.from_json(raw, ENVELOPE, {"mode": "PERMISSIVE"}))).alias("msg")
-    is_object = F.coalesce(raw.rlike(r"^\s*\{"), F.lit(False)) & F.col("msg").isNotNull()
+    message = F.from_json(raw, ENVELOPE, {"mode": "PERMISSIVE"})
+    parsed = F.explode(F.transform(F.array(message), _with_events)).alias("msg")
+    # inside brackets, text behind the object breaks the list or lengthens it
+    alone = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")
+    whole = raw.rlike(r"^\s*\{") & raw.rlike(r"\}\s*$") & (F.size(alone) == 1)
+    is_object = F.coalesce(whole, F.lit(False)) & F.col("msg").isNotNull()
     return messages.select("*", parsed).withColumn("is_object", is_object)
 
 
+def _with_events(msg: Column) -> Column:
+    """The message with its ``events`` and ``event`` as structs, NULL where the text is no list or no object."""
+    listed = F.when(msg["events"].rlike(r"^\s*\["), F.from_json(msg["events"], "array<string>"))
+    single = F.get(_event_structs(F.array(msg["event"])), 0)
+    return msg.withField("events", _event_structs(listed)).withField("event", single)
+
+
+def _event_structs(texts: Column) -> Column:
+    objects = F.filter(texts, lambda e: F.coalesce(e.rlike(r"^\s*\{"), F.lit(False)))
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in COLLECTED_EVENT])
+    return F.transform(F.transform(objects, lambda e: F.from_json(e, as_text)), _typed_event)
+
+
+def _typed_event(e: Column) -> Column:
+    """Each field in its declared type; numbers sent as text count, anything else becomes NULL."""
+    made = []
+    for f in COLLECTED_EVENT:
+        c = e[f.name]
+        if not isinstance(f.dataType, T.StringType):
+            number = number_from_text(c)
+            c = number if isinstance(f.dataType, T.DoubleType) else F.when(c.rlike(INTEGER_TEXT), F.trim(c).try_cast(f.dataType))
+        made.append(c.alias(f.name))
+    return F.struct(*made)
+
+
 def dead_letters(decoded: DataFrame) -> DataFrame:
     return decoded.filter(~F.col("is_object"))
 
@@ -165,21 +197,23 @@ def chunk_messages(chunks: DataFrame, key: str, payload: list[str], tie: str, se
     return grouped.select(F.col(key).alias("key"), "chunk_no", F.size("events").alias("event_count"), F.to_json(F.struct(*fields)).alias("value"))
 
 
-def merge_events(current: DataFrame, fresh: DataFrame, keep: int = 5000) -> DataFrame:
-    """Union, one row per event_hash (else host, time and code), newest first, newest ``keep`` rows."""
+def merge_events(current: DataFrame, fresh: DataFrame, keep: int | None = None) -> DataFrame:
+    """Union, one row per event_hash (else host, time and code), all of them or the newest ``keep``."""
     both = fresh.withColumn("__src", F.lit(0)).unionByName(current.withColumn("__src", F.lit(1)))
     fallback = F.concat_ws("::", "system_id", F.col("ingested_at").cast("string"), F.col("event_code").cast("string"))
     keyed = both.withColumn("merge_key", F.coalesce(blank_to_null(F.col("event_hash")), fallback))
     # The current row wins over a fresh duplicate.
     unique = latest_per_key(keyed, ["merge_key"], F.col("__src").desc(), F.col("id").asc())
-    return unique.drop("__src").orderBy(F.col("ingested_at").desc(), F.col("id").desc()).limit(keep)
+    rows = unique.drop("__src")
+    return rows.orderBy(F.col("ingested_at").desc(), F.col("id").desc()).limit(keep) if keep else rows
 
 
-def merge_snapshots(current: DataFrame, fresh: DataFrame, keep: int = 500) -> DataFrame:
-    """Union, one row per (host, time) with the fresh one winning, newest ``keep``."""
+def merge_snapshots(current: DataFrame, fresh: DataFrame, keep: int | None = None) -> DataFrame:
+    """Union, one row per (host, time) with the fresh one winning; all of them or the newest ``keep``."""
     both = fresh.withColumn("__src", F.lit(0)).unionByName(current.withColumn("__src", F.lit(1)))
     unique = latest_per_key(both, ["system_id", "snapshot_time"], F.col("__src").asc())
-    return unique.drop("__src").orderBy(F.col("snapshot_time").desc(), F.col("system_id")).limit(keep)
+    rows = unique.drop("__src")
+    return rows.orderBy(F.col("snapshot_time").desc(), F.col("system_id")).limit(keep) if keep else rows
 
 
 def metric_deltas(points: DataFrame, ts: str, tie: str, cpu: float = 5.0, memory: float = 5.0, disk: float = 3.0, chunk_seconds: int = 3600) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values, in order: playbook key -> steps (text, command, priority, hook).
@@ -80,4 +80,6 @@ def suggested_actions(incidents: DataFrame, success_rates: DataFrame | None = No
         rate = F.lit(0.0)
     label, priority = F.col("priority_label"), F.col("priority")
     keep = F.when(label == "LOW", priority == "monitor").when(label == "MEDIUM", priority != "monitor").otherwise(True)
-    return steps.filter(keep).select("incident_id", "playbook", "step_no", "step", "command", "priority", "hook", rate.alias("rate"))
+    rows = steps.filter(keep).select("incident_id", "playbook", "step_no", "step", "command", "priority", "hook", rate.alias("rate"))
+    best_first = Window.partitionBy("incident_id").orderBy(F.col("rate").desc(), F.col("step_no"))
+    return rows.withColumn("position", F.row_number().over(best_first))

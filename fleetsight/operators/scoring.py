@@ -19,7 +19,6 @@ from fleetsight.schemas import (
     FOREST_TREES,
     KMEANS_CLUSTERS,
     KMEANS_RUNS,
-    ML_BATCH_ROWS,
     ML_MIN_ROWS,
     MODEL_SEED,
     MODEL_VERSION,
@@ -27,7 +26,7 @@ from fleetsight.schemas import (
 )
 
 SAMPLE_SIZE = 256  # rows per tree, as in the isolation-forest paper (Liu et al. 2008)
-POOL_PER_TREE = 1  # the pre-sample holds about this many times the rows all trees need together
+CANDIDATES = 2  # times the rows of a tree that its hash rule lets through on average
 
 
 def _double(name: str) -> Column:
@@ -149,25 +148,15 @@ def fit_forest(
 ) -> tuple[list[dict], int]:
     """Grow the trees in Spark, one task group per tree; only the finished trees (about 500 nodes each) come back.
 
-    Rows are picked by a hash of (row id, tree, seed), so the sample does not depend on partitioning. A first
-    hash threshold bounds the pool that is crossed with the tree numbers; no group holds more than 256 rows.
+    A row is a candidate of a tree if a hash of (row id, tree, seed) falls below one threshold for all rows and trees, so
+    the sample depends on neither partitioning nor size. The smallest hashes of a tree's candidates are its sample.
     """
     n = rows.count()
     size = min(SAMPLE_SIZE, n)
-    wanted = trees * SAMPLE_SIZE * POOL_PER_TREE
-    pool = rows.select(F.col(row_id).alias("rid"), *columns)
-    if n > wanted:
-        share = wanted / n
-        bits = F.pmod(F.xxhash64(F.col("rid"), F.lit(seed), F.lit("pool")), F.lit(1 << 32))
-        pool = pool.filter(bits < F.lit(int(share * (1 << 32))))
-    pooled = min(n, wanted)
-    # The pool is small and bounded, but it is about to grow by the number of trees: spread it first.
-    pool = pool.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    spread = spread.withColumn("h", F.xxhash64("rid", "tree", F.lit(seed)))
-    if pooled > 4 * size:
-        # Keep about twice the rows a tree needs, by hash, so that only those are ranked.
-        spread = spread.filter(F.pmod(F.col("h"), F.lit(1 << 32)) < F.lit(int(2 * size / pooled * (1 << 32))))
+    share = min(1.0, CANDIDATES * size / max(n, 1))
+    mark = lambda tree: F.xxhash64("rid", tree, F.lit(seed))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.pmod(mark(tree), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
+    spread = rows.select(F.col(row_id).alias("rid"), *columns).withColumn("tree", F.explode(mine)).withColumn("h", mark(F.col("tree")))
     # A fixed number of partitions: AQE would merge these small groups and grow every tree in one task.
     spread = spread.repartition(min(trees, max(8, rows.sparkSession.sparkContext.defaultParallelism)), "tree")
     sample = latest_per_key(spread, ["tree"], F.col("h"), F.col("rid"), n=size)
@@ -271,12 +260,12 @@ def latest_snapshot_per_host(snapshots: DataFrame) -> DataFrame:
 
 
 def scoring_cycle(
-    snapshots: DataFrame, as_of: Column, batch_rows: int | None = ML_BATCH_ROWS, min_rows: int = ML_MIN_ROWS, use_model: bool = True
+    snapshots: DataFrame, as_of: Column, batch_rows: int | None = None, min_rows: int = ML_MIN_ROWS, use_model: bool = True
 ) -> DataFrame:
-    """Score the newest batch and keep one prediction per host.
+    """Score all snapshots, or the newest ``batch_rows``, and keep one prediction per host.
 
     With at least ``min_rows`` snapshots the forest and k-means decide, otherwise the heuristic (whose rows have
-    no cluster). ``batch_rows=None`` scores everything given.
+    no cluster).
     """
     batch = training_batch(snapshots, batch_rows) if batch_rows else snapshots
     enough = use_model and batch.limit(min_rows).count() >= min_rows

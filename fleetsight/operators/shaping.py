@@ -19,7 +19,7 @@ def host_label(hostname: str = "hostname", system_id: str = "system_id") -> Colu
     return F.coalesce(blank_to_null(F.col(hostname)), F.col(system_id))
 
 
-def newest(rows: DataFrame, time_column: str, limit, *tie: str, default: int = 100, high: int = 1000) -> DataFrame:
+def newest(rows: DataFrame, time_column: str, limit, *tie: str, default: int = 100, high: int | None = None) -> DataFrame:
     """Newest-N with a deterministic tie-break; plans as TakeOrderedAndProject."""
     order = [F.col(time_column).desc_nulls_last(), *[F.col(t).desc() for t in tie]]
     return rows.orderBy(*order).limit(bounded_limit(limit, default, 1, high))
@@ -171,9 +171,9 @@ def dashboard_alerts(
     systems: list[str] = (),
     severities: list[str] = (),
     query: str = "",
-    active_cap: int = 50,
+    active_cap: int | None = None,
 ) -> DataFrame:
-    """Only acknowledged alerts are bound by time; the unacknowledged list is a top-50 by last_seen."""
+    """Only acknowledged alerts are bound by time; ``active_cap`` keeps the newest unacknowledged ones only."""
     rows = alerts
     if systems:
         rows = rows.filter(F.col("system_id").isin(*systems) | F.col("hostname").isin(*systems))
@@ -183,7 +183,9 @@ def dashboard_alerts(
         rows = rows.filter(contains_any(query, F.col("rule_name"), F.col("title"), F.col("hostname")))
     acked = F.coalesce("acknowledged", F.lit(False))
     done = rows.filter(acked & (F.col("first_seen_at") >= before(as_of, range_seconds)))
-    active = rows.filter(~acked).orderBy(F.col("last_seen_at").desc(), F.col("alert_key")).limit(active_cap)
+    active = rows.filter(~acked)
+    if active_cap:
+        active = active.orderBy(F.col("last_seen_at").desc(), F.col("alert_key")).limit(active_cap)
     return active.unionByName(done)
 
 

@@ -153,7 +153,7 @@ SELECT alert_key, source_event_id, hostname, title, seen_at AS last_seen_at FROM
 WHERE r = 1 AND alert_key NOT IN (SELECT alert_key FROM acked_alerts WHERE NOT acknowledged)"""
 
 
-@query("a_bf_native_backfill", BACKFILL.format(limit="ORDER BY c.seen_at DESC, c.source_event_id DESC LIMIT 500"))
+@query("a_bf_native_backfill", BACKFILL.format(limit=""))
 def _(t):
     return alerts.backfill_native(t.tel, _acked_alerts(t)).select("alert_key", "source_event_id", "hostname", "title", "last_seen_at")
 
@@ -250,7 +250,7 @@ def _(t):
 
 
 @query("p13_dashboard_alerts", f"""
-SELECT alert_key, episode, acknowledged FROM (SELECT alert_key, episode, acknowledged, last_seen_at FROM acked_alerts WHERE NOT acknowledged AND severity IN ('CRITICAL','WARNING') AND (contains(lower(rule_name),'error') OR contains(lower(title),'error') OR contains(lower(hostname),'error')) ORDER BY last_seen_at DESC, alert_key LIMIT 50) a
+SELECT alert_key, episode, acknowledged FROM (SELECT alert_key, episode, acknowledged, last_seen_at FROM acked_alerts WHERE NOT acknowledged AND severity IN ('CRITICAL','WARNING') AND (contains(lower(rule_name),'error') OR contains(lower(title),'error') OR contains(lower(hostname),'error')) ) a
 UNION ALL SELECT alert_key, episode, acknowledged FROM acked_alerts WHERE acknowledged AND first_seen_at >= {AS_OF} - INTERVAL 20 DAYS AND severity IN ('CRITICAL','WARNING') AND (contains(lower(rule_name),'error') OR contains(lower(title),'error') OR contains(lower(hostname),'error'))""")
 def _(t):
     rows = shaping.dashboard_alerts(_acked_alerts(t), t.as_of, 20 * DAY, severities=["CRITICAL", "WARNING"], query="Error")

@@ -104,7 +104,7 @@ SELECT h.system_id, h.hostname, CAST(h.cpu_usage_percent AS DOUBLE) AS cpu_usage
  CAST(coalesce(c.critical_count, 0) AS BIGINT) AS critical_count,
  CASE WHEN epoch_us({AS_OF}) - epoch_us(h.last_seen) > 120000000 THEN 'offline'
   WHEN coalesce(c.critical_count,0) >= 3 OR h.cpu_usage_percent > 90 OR h.memory_usage_percent > 95 THEN 'degraded' ELSE 'online' END AS status
-FROM hb h LEFT JOIN ({counts}) c ON c.system_id = h.system_id ORDER BY h.system_id LIMIT 1000"""
+FROM hb h LEFT JOIN ({counts}) c ON c.system_id = h.system_id"""
 
 
 @query("j01_fleet_list", fleet_sql(f"""
@@ -149,7 +149,7 @@ def _(t):
 
 @query("j02_failing_hosts", f"""
 SELECT e.system_id, coalesce(h.hostname, e.system_id) AS hostname, count(*) AS failure_count FROM tel e LEFT JOIN hb h ON h.system_id = e.system_id
-WHERE e.severity IN ('CRITICAL','ERROR') AND e.ingested_at >= {AS_OF} - INTERVAL 20 DAYS GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 25""")
+WHERE e.severity IN ('CRITICAL','ERROR') AND e.ingested_at >= {AS_OF} - INTERVAL 20 DAYS GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 40""")
 def _(t):
     return fleet.failing_hosts(t.tel, t.hb, t.as_of, 20 * 1440, limit=40)
 
@@ -281,7 +281,7 @@ def _(t):
 
 @query("w03_latest_anomalies", """
 SELECT system_id, prediction_time, anomaly_score, is_anomaly, failure_probability, predicted_fault, model_version FROM (
- SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY prediction_time DESC) AS r FROM preds1 WHERE is_anomaly) p WHERE r = 1 ORDER BY system_id LIMIT 50""")
+ SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY prediction_time DESC) AS r FROM preds1 WHERE is_anomaly) p WHERE r = 1""")
 def _(t):
     return fleet.latest_predictions(t.preds(), only_anomalies=True).drop("cluster_id")
 
@@ -398,7 +398,7 @@ def _newest(name, columns, order, limit, k):
 
 
 _newest("l01_newest_predictions", "system_id, prediction_time, anomaly_score, failure_probability, predicted_fault, model_version", None, "bad", 100)
-_newest("l01_anomaly_scores", "system_id, anomaly_score, prediction_time", None, 5000, 1000)
+_newest("l01_anomaly_scores", "system_id, anomaly_score, prediction_time", None, 5000, 5000)
 _newest("l01_failure_risk", "system_id, failure_probability, predicted_fault, prediction_time", None, 1000, 1000)
 
 

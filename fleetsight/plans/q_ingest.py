@@ -198,7 +198,7 @@ def _(t):
 SELECT id, event_hash IS NULL AS unhashed, origin FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(event_hash, system_id || '::' || CAST(ingested_at AS VARCHAR) || '::' || CAST(event_code AS VARCHAR)) ORDER BY origin, id) AS r FROM (
  SELECT id, system_id, ingested_at, event_code, CASE WHEN severity <> 'INFO' THEN sha256(system_id || fault_type || CAST(ingested_at::DATE AS VARCHAR)) END AS event_hash, 'current' AS origin FROM tel WHERE ingested_at <= {AS_OF} - INTERVAL 5 DAYS
  UNION ALL SELECT id, system_id, ingested_at, event_code, CASE WHEN severity <> 'INFO' THEN sha256(system_id || fault_type || CAST(ingested_at::DATE AS VARCHAR)) END, 'fresh' FROM tel WHERE ingested_at > {AS_OF} - INTERVAL 15 DAYS) u) x
-WHERE r = 1 ORDER BY ingested_at DESC, id DESC LIMIT 5000""")
+WHERE r = 1""")
 def _(t):
     day = F.date_format("ingested_at", "yyyy-MM-dd")
     hashed = F.when(F.col("severity") != "INFO", F.sha2(F.concat("system_id", "fault_type", day), 256))
@@ -211,7 +211,7 @@ def _(t):
 
 @query("u04_merged_snapshots", """
 SELECT system_id, snapshot_time, total_events FROM (SELECT *, row_number() OVER (PARTITION BY system_id, snapshot_time ORDER BY o) AS r FROM (
- SELECT system_id, snapshot_time, total_events, 1 AS o FROM snaps1 UNION ALL SELECT system_id, snapshot_time, total_events * 10, 0 FROM snaps1 WHERE critical_count > 0) u) x WHERE r = 1 ORDER BY snapshot_time DESC, system_id LIMIT 500""")
+ SELECT system_id, snapshot_time, total_events, 1 AS o FROM snaps1 UNION ALL SELECT system_id, snapshot_time, total_events * 10, 0 FROM snaps1 WHERE critical_count > 0) u) x WHERE r = 1""")
 def _(t):
     snaps = t.snaps()
     fresh = snaps.filter("critical_count > 0").withColumn("total_events", F.col("total_events") * 10)

@@ -130,7 +130,7 @@ def _(t):
 
 
 @query("a25_mean_resolution", """
-SELECT fault_type, count(*) AS resolutions, round(avg(ms), 3) AS avg_resolution_ms FROM (SELECT fault_type, occurrence_count * 1000 AS ms FROM (SELECT a.*, split_part(rule_name, ' ', 1) AS fault_type FROM alerts a) y ORDER BY last_seen_at DESC, alert_key LIMIT 200) x GROUP BY 1""")
+SELECT fault_type, count(*) AS resolutions, round(avg(ms), 3) AS avg_resolution_ms FROM (SELECT fault_type, occurrence_count * 1000 AS ms FROM (SELECT a.*, split_part(rule_name, ' ', 1) AS fault_type FROM alerts a) y ) x GROUP BY 1""")
 def _(t):
     rows = alerts.roll_up(alerts.native_candidates(t.tel))
     log = rows.select(
@@ -140,7 +140,7 @@ def _(t):
 
 
 RATES = """SELECT hook_id, count(*) AS runs, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM (SELECT CASE severity WHEN 'CRITICAL' THEN 'restart-service' WHEN 'ERROR' THEN 'scale-instance' ELSE 'check-db-connections' END AS hook_id,
- occurrence_count % 2 = 0 AS ok FROM alerts ORDER BY last_seen_at DESC, alert_key, hook_id LIMIT 100) x GROUP BY 1"""
+ occurrence_count % 2 = 0 AS ok FROM alerts ) x GROUP BY 1"""
 
 
 def _rates(t):
@@ -163,7 +163,8 @@ PLAYBOOK_SQL = ", ".join(
 
 
 @query("p25_suggested_actions", f"""
-SELECT i.incident_key, p.playbook, p.step_no, p.step, p.priority, p.hook, round(coalesce(r.success_rate, 0), 6) AS rate FROM (
+SELECT i.incident_key, p.playbook, p.step_no, p.step, p.priority, p.hook, round(coalesce(r.success_rate, 0), 6) AS rate,
+ row_number() OVER (PARTITION BY i.incident_key ORDER BY coalesce(r.success_rate, 0) DESC, p.step_no) AS position FROM (
  SELECT *, CASE WHEN trigger <> 'signal' THEN 'anomaly' WHEN contains(lower(fault_type),'cpu') THEN 'cpu' WHEN contains(lower(fault_type),'db') THEN 'db' WHEN contains(lower(fault_type),'network') THEN 'network' WHEN contains(lower(fault_type),'auth') THEN 'auth'
   WHEN contains(lower(fault_type),'crash') THEN 'crash' WHEN contains(lower(fault_type),'anomaly') THEN 'anomaly' WHEN contains(lower(fault_type),'disk') THEN 'disk' ELSE 'fallback' END AS pb
  FROM (SELECT * EXCLUDE (fault_type), CASE fault_type WHEN 'DRIVER_ISSUE' THEN 'DISK_ISSUE' WHEN 'SECURITY_EVENT' THEN 'AUTH_DB_EVENT' ELSE fault_type END AS fault_type FROM incidents) j) i
@@ -174,7 +175,7 @@ def _(t):
     renamed = F.when(fault == "DRIVER_ISSUE", "DISK_ISSUE").when(fault == "SECURITY_EVENT", "AUTH_DB_EVENT").otherwise(fault)
     rows = _incidents(t).withColumn("fault_type", renamed).withColumn("incident_id", F.col("incident_key"))
     out = playbook.suggested_actions(rows, _rates(t))
-    return out.select(F.col("incident_id").alias("incident_key"), "playbook", "step_no", "step", "priority", "hook", F.round("rate", 6).alias("rate"))
+    return out.select(F.col("incident_id").alias("incident_key"), "playbook", "step_no", "step", "priority", "hook", F.round("rate", 6).alias("rate"), "position")
 
 
 TIMELINE = """SELECT *, row_number() OVER (PARTITION BY incident_key ORDER BY ingested_at, id) AS position FROM (

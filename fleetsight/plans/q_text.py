@@ -158,7 +158,7 @@ SEARCH = "fault_type ILIKE '%{q}%' OR system_id ILIKE '%{q}%' OR coalesce(hostna
 EVENT_COLS = "id, system_id, hostname, severity, fault_type, ingested_at"
 
 
-@query("p01_event_search", f"SELECT {EVENT_COLS} FROM tel WHERE severity = 'WARNING' AND ({SEARCH.format(q='PURCHASE on_user 1')}) ORDER BY ingested_at DESC, id DESC LIMIT 1000")
+@query("p01_event_search", f"SELECT {EVENT_COLS} FROM tel WHERE severity = 'WARNING' AND ({SEARCH.format(q='PURCHASE on_user 1')}) ORDER BY ingested_at DESC, id DESC LIMIT 4000")
 def _(t):
     return shaping.search_events(t.tel, 4000, severity="WARNING", search="PURCHASE on_user 1").select(*[c.strip() for c in EVENT_COLS.split(",")])
 

@@ -79,8 +79,9 @@ ENVELOPE = T.StructType(
         T.StructField("uptime_seconds", T.LongType()),
         T.StructField("timestamp_collected", T.StringType()),
         T.StructField("system_info", SYSTEM_INFO),
-        T.StructField("events", T.ArrayType(COLLECTED_EVENT)),
-        T.StructField("event", COLLECTED_EVENT),
+        # as JSON text: entries are parsed one by one, so a bad one loses only itself
+        T.StructField("events", T.StringType()),
+        T.StructField("event", T.StringType()),
     ]
 )
 

@@ -15,7 +15,7 @@ def kafka_messages(spark: SparkSession, servers: str, topic: str, max_offsets_pe
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
-        .option("failOnDataLoss", "false")
+        .option("failOnDataLoss", "true")
         .option("maxOffsetsPerTrigger", max_offsets_per_trigger)
     )
     for name, value in options.items():

@@ -49,7 +49,7 @@ def test_number_text(spark, raw, as_int, as_float):
     assert one(spark, coerce.float_or(c, 0.5, is_text=True)) == as_float
 
 
-@pytest.mark.parametrize("given,want", [(5, 5), (0, 1), (5000, 1000), ("bad", 100), (None, 100), ("7", 7)])
+@pytest.mark.parametrize("given,want", [(5, 5), (0, 1), (5000, 5000), ("bad", 100), (None, 100), ("7", 7)])
 def test_bounded_limit(given, want):
     assert coerce.bounded_limit(given) == want
 

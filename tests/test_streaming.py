@@ -1,5 +1,6 @@
 """Streams run to completion over files give what the batch operators give."""
 
+import time
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,7 +125,10 @@ def test_observed_counters_and_lag(spark, tables, message_dir, tmp_path):
     spark.streams.addListener(monitor)
     try:
         to_table(spark, jobs.observed(sources.file_messages(spark, message_dir), SECRET).select("offset"), "obs", "append", tmp_path)
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        expected = spark.read.parquet(message_dir).count()
+        deadline = time.monotonic() + 60
+        while sum(b["observed"].get("ingest", {}).get("messages", 0) for b in monitor.batches) < expected and time.monotonic() < deadline:
+            time.sleep(0.2)
     finally:
         spark.streams.removeListener(monitor)
     totals = [b["observed"].get("ingest", {}) for b in monitor.batches]
