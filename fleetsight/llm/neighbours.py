@@ -24,7 +24,7 @@ SAMPLE_ROWS = 20_000
 #: Rows wanted in a leaf; a tree has no more leaves than a quarter of its sample.
 LEAF_ROWS = 150
 #: Leaves that a query opens over all trees.
-LEAVES = 96
+LEAVES = 320
 
 
 @dataclass
