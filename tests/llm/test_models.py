@@ -110,6 +110,9 @@ def test_base_patterns():
         text = "".join(rng.choice(list("1234567890.. +-()@a b%"), 40))
         assert pii.base_spans(text) == brute_spans(text)
     assert pii.base_spans("4111 1111-1111 1111") == [("card", 0, 19)]
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.{zeros}255.1.2") == [("ip", 0, 10008)]
+    assert pii.base_spans(f"{'9' * 5000}.1.2.3 +{'1' * 5000}") == []
 
 
 def test_personal_data_of_documents(documents):
