@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed patterns: the text forms that count as a number.
-INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
-DECIMAL_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+INTEGER_TEXT = r"^[+-]?[0-9]+\z"
+DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+# Unicode white space and the four ASCII separators.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Text without white space at its ends; ``trim`` alone takes off blanks only."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -22,12 +29,17 @@ def first_text(*cs: Column) -> Column:
 
 def text_or(c: Column, fallback: str = "") -> Column:
     """Trimmed text; NULL takes the fallback, an empty string stays empty."""
-    return F.coalesce(F.trim(c.cast("string")), F.lit(fallback))
+    return F.coalesce(strip(c.cast("string")), F.lit(fallback))
 
 
 def number_from_text(c: Column) -> Column:
     """Double for numeric text, else NULL. The pattern keeps out forms such as ``5d`` that a cast accepts."""
-    return F.when(c.rlike(DECIMAL_TEXT), F.trim(c).try_cast("double"))
+    return F.when(strip(c).rlike(DECIMAL_TEXT), strip(c).try_cast("double"))
+
+
+def whole_from_text(c: Column, kind="bigint") -> Column:
+    """Whole number for integer text, else NULL."""
+    return F.when(strip(c).rlike(INTEGER_TEXT), strip(c).try_cast(kind))
 
 
 def float_or(c: Column, fallback: float = 0.0, is_text: bool = False) -> Column:
@@ -37,7 +49,7 @@ def float_or(c: Column, fallback: float = 0.0, is_text: bool = False) -> Column:
 
 def int_or(c: Column, fallback: int = 0, is_text: bool = False) -> Column:
     """Numbers truncate toward zero; text must be a whole number (``7.9`` takes the fallback)."""
-    value = F.when(c.rlike(INTEGER_TEXT), F.trim(c).try_cast("bigint")) if is_text else c.try_cast("bigint")
+    value = whole_from_text(c) if is_text else c.try_cast("bigint")
     return F.coalesce(value, F.lit(fallback).cast("bigint"))
 
 

@@ -17,16 +17,13 @@ def _chunk(ts: Column, seconds: int) -> Column:
     return ((us - F.pmod(us, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
-def _join_on_chunk(rows: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
-    """Null-safe equi-join on the keys and the chunk."""
-    renamed = borders
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"__k_{k}")
-    renamed = renamed.withColumnRenamed("__chunk", "__k_chunk")
-    cond = F.col("__chunk") == F.col("__k_chunk")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return rows.join(renamed, cond, "left").drop("__k_chunk", *[f"__k_{k}" for k in keys])
+def _keyed(df: DataFrame, keys: list[str], ts: str, chunk_seconds: int) -> DataFrame:
+    """Adds ``__key`` and ``__chunk``.
+
+    The keys as one struct are never NULL as a whole, and NULLs inside are equal, so that a plain equi-join, the
+    aggregate and the window all share one partitioning by (key, chunk): the rows are shuffled once.
+    """
+    return df.withColumns({"__key": F.struct(*keys), "__chunk": _chunk(F.col(ts), chunk_seconds)})
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column, n: int = 1, rank: str | None = None) -> DataFrame:
@@ -45,39 +42,39 @@ def rank_in_time(
     df: DataFrame, keys: list[str], ts: str, tie: str, chunk_seconds: int = 3600, out: str = "rn", total: str | None = None
 ) -> DataFrame:
     """``row_number() over (partition by keys order by ts, tie)``, optionally with the row count per key."""
-    rows = df.withColumn("__chunk", _chunk(F.col(ts), chunk_seconds))
-    counts = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__size"))
-    per_key = Window.partitionBy(*keys)
+    rows = _keyed(df, keys, ts, chunk_seconds)
+    counts = rows.groupBy("__key", "__chunk").agg(F.count(F.lit(1)).alias("__size"))
+    per_key = Window.partitionBy("__key")
     earlier = per_key.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__offset", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
     if total:
         offsets = offsets.withColumn(total, F.sum("__size").over(per_key))
-    joined = _join_on_chunk(rows, offsets.drop("__size"), keys)
-    local = Window.partitionBy(*keys, "__chunk").orderBy(ts, tie)
-    return joined.withColumn(out, F.row_number().over(local) + F.col("__offset")).drop("__chunk", "__offset")
+    joined = rows.join(offsets.drop("__size"), ["__key", "__chunk"], "left")
+    local = Window.partitionBy("__key", "__chunk").orderBy(ts, tie)
+    return joined.withColumn(out, F.row_number().over(local) + F.col("__offset")).drop("__key", "__chunk", "__offset")
 
 
 def neighbour_in_time(
     df: DataFrame, keys: list[str], ts: str, tie: str, columns: dict[str, str], chunk_seconds: int = 3600, lead: bool = False
 ) -> DataFrame:
     """``lag`` (or ``lead``) of several columns: ``columns`` maps the new name to the source column."""
-    rows = df.withColumn("__chunk", _chunk(F.col(ts), chunk_seconds))
+    rows = _keyed(df, keys, ts, chunk_seconds)
     values = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
     place = F.struct(F.col(ts), F.col(tie))
     border = (F.min_by if lead else F.max_by)(values, place).alias("__border")
-    chunks = rows.groupBy(*keys, "__chunk").agg(border)
-    over_chunks = Window.partitionBy(*keys).orderBy(F.col("__chunk").desc() if lead else F.col("__chunk"))
+    chunks = rows.groupBy("__key", "__chunk").agg(border)
+    over_chunks = Window.partitionBy("__key").orderBy(F.col("__chunk").desc() if lead else F.col("__chunk"))
     chunks = chunks.withColumn("__border", F.lag("__border").over(over_chunks))
-    joined = _join_on_chunk(rows, chunks, keys)
+    joined = rows.join(chunks, ["__key", "__chunk"], "left")
     order = [F.col(ts).desc(), F.col(tie).desc()] if lead else [F.col(ts), F.col(tie)]
-    local = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    local = Window.partitionBy("__key", "__chunk").orderBy(*order)
     first = F.row_number().over(local) == 1
     joined = joined.withColumn("__first", first)
     joined = joined.withColumns({f"__l_{out}": F.lag(src).over(local) for out, src in columns.items()})
     picked = {
         out: F.when(F.col("__first"), F.col(f"__border.{out}")).otherwise(F.col(f"__l_{out}")) for out in columns
     }
-    return joined.withColumns(picked).drop("__chunk", "__border", "__first", *[f"__l_{out}" for out in columns])
+    return joined.withColumns(picked).drop("__key", "__chunk", "__border", "__first", *[f"__l_{out}" for out in columns])
 
 
 def trailing_count(
@@ -103,40 +100,41 @@ def trailing_count(
     return counted.filter(F.col("__home") == F.col("__chunk")).drop("__us", "__home", "__chunk")
 
 
-def exact_percentile(df: DataFrame, column: str, fraction: float, bins: int = 10_000) -> float | None:
+def exact_percentile(df: DataFrame, column: str, fraction: float, bins: int = 10_000, few: int = 100_000) -> float | None:
     """Linear-interpolated percentile of a numeric column, without sorting it in one task.
 
-    A first pass counts rows per equal-width bin (at most ``bins`` rows come out); the wanted ranks lie in one or
-    two bins, and only those are read again with Spark's exact aggregate.
+    A pass counts rows per equal-width bin (at most ``bins`` rows come out); the wanted ranks lie in one or two bins.
+    A bin of more than ``few`` rows is cut into bins again, so far outliers, which push nearly all rows into one bin,
+    cost passes but never a task with all rows.
     """
-    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
     if not n:
         return None
-    if low == high:
-        return float(low)
-    width = (float(high) - float(low)) / bins
-    bin_of = F.least(F.floor((F.col(column) - F.lit(float(low))) / F.lit(width)), F.lit(bins - 1)).cast("bigint")
     position = fraction * (n - 1)
-    ranks = sorted({int(position), min(int(position) + 1, n - 1)})
-    valued = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), bin_of.alias("b"))
-    counts = valued.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    seen, wanted = 0, {}
-    for row in sorted(counts.collect(), key=lambda r: r["b"]):
-        for r in ranks:
-            if seen <= r < seen + row["n"]:
-                wanted[r] = (row["b"], r - seen, row["n"], row["lo"], row["hi"])
+    lower = int(position)
+    found = _at_ranks(values, {lower: lower, min(lower + 1, n - 1): min(lower + 1, n - 1)}, low, high, n, bins, few)
+    below, above = found[lower], found[min(lower + 1, n - 1)]
+    return float(below + (above - below) * (position - lower))
+
+
+def _at_ranks(values: DataFrame, ranks: dict[int, int], low: float, high: float, n: int, bins: int, few: int) -> dict[int, float]:
+    """The values at some ranks (wanted rank to its rank among the ``n`` rows from ``low`` to ``high``)."""
+    if low == high:
+        return {r: low for r in ranks}
+    inside = values.filter(F.col("v").between(low, high))
+    if n <= few:
+        ordered = F.sort_array(F.collect_list("v"))
+        row = inside.agg(*[F.element_at(ordered, at + 1).alias(str(r)) for r, at in ranks.items()]).first()
+        return {r: row[str(r)] for r in ranks}
+    # halves keep the width finite for any two doubles
+    width = (high / 2 - low / 2) / bins
+    place = F.floor((F.col("v") / 2 - F.lit(low / 2)) / F.lit(width)) if width > 0 else F.when(F.col("v") == F.lit(low), 0).otherwise(1)
+    counts = inside.groupBy(F.least(place.cast("bigint"), F.lit(bins - 1).cast("bigint")).alias("b"))
+    seen, found = 0, {}
+    for row in sorted(counts.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r["b"]):
+        mine = {r: at - seen for r, at in ranks.items() if seen <= at < seen + row["n"]}
+        if mine:
+            found |= _at_ranks(values, mine, row["lo"], row["hi"], row["n"], bins, few)
         seen += row["n"]
-        if len(wanted) == len(ranks):
-            break
-    values = {}
-    for r, (b, local, size, lo, hi) in wanted.items():
-        if lo == hi or local == 0:
-            values[r] = lo
-        elif local == size - 1:
-            values[r] = hi
-        else:
-            share = local / (size - 1)
-            values[r] = valued.filter(F.col("b") == b).agg(F.percentile("v", F.lit(share))).first()[0]
-    lower = values[ranks[0]]
-    upper = values[ranks[-1]]
-    return float(lower + (upper - lower) * (position - int(position)))
+    return found

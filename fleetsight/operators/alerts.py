@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsight.functions.clock import in_window
-from fleetsight.functions.coerce import first_text, text_or
+from fleetsight.functions.coerce import first_text, strip, text_or
 from fleetsight.functions.ordered import latest_per_key
 from fleetsight.functions.text import alert_number, merge_json, native_alert_key, rule_alert_key
 from fleetsight.operators.rules import LIVE_FIELDS, firing_matches, match_rules
@@ -21,14 +21,14 @@ def _column(df: DataFrame, name: str) -> Column:
 
 
 def _description(df: DataFrame, fallback: Column) -> Column:
-    return F.coalesce(first_text(F.trim(_column(df, "parsed_message")), F.trim(_column(df, "event_message"))), fallback)
+    return F.coalesce(first_text(strip(_column(df, "parsed_message")), strip(_column(df, "event_message"))), fallback)
 
 
 def native_candidates(events: DataFrame) -> DataFrame:
     """One candidate per severe event. The key uses the severity as stored."""
     upper = F.upper(text_or(F.col("severity"), "INFO"))
     system = text_or(F.col("system_id"), "unknown")
-    host = F.coalesce(F.trim("hostname"), system)
+    host = F.coalesce(strip(F.col("hostname")), system)
     fault = text_or(F.col("fault_type"), "Unknown")
     rows = events.filter(upper.isin(*SEVERE))
     return rows.select(
@@ -55,10 +55,10 @@ def rule_candidates(
     keep = ["id", "system_id", "hostname", "severity", "fault_type", "ingested_at"]
     fired = firing_matches(match_rules(events, rules, keep, fields), lookback_seconds, **kw)
     system = text_or(F.col("system_id"), "unknown")
-    host = F.coalesce(F.trim("hostname"), system)
-    severity = F.upper(F.coalesce(F.trim("rule_severity"), F.upper(text_or(F.col("severity"), "INFO"))))
+    host = F.coalesce(strip(F.col("hostname")), system)
+    severity = F.upper(F.coalesce(strip(F.col("rule_severity")), F.upper(text_or(F.col("severity"), "INFO"))))
     name = text_or(F.col("rule_name"), "Custom Rule")
-    target = F.trim("escalation_target")
+    target = strip(F.col("escalation_target"))
     return fired.select(
         rule_alert_key(F.col("rule_id"), F.col("system_id"), F.col("severity"), F.col("fault_type")).alias("alert_key"),
         F.lit("rule").alias("source_type"),
@@ -88,7 +88,8 @@ _FRESH = ["title", "description", "escalation_target", "metadata"]
 def roll_up(candidates: DataFrame) -> DataFrame:
     """Alert rows when nothing was acknowledged: one active row per key.
 
-    A plain keyed aggregate with map-side combine: identity from the first candidate, text from the last.
+    One keyed aggregate: identity from the first candidate, text from the last. Texts in the state make it a sort
+    aggregate, so map tasks sort their candidates, and one row per key and task is shuffled.
     """
     place = F.struct("seen_at", "source_event_id")
     grouped = candidates.groupBy("alert_key").agg(
@@ -221,7 +222,7 @@ def backfill_rules(
         F.count(F.lit(1)).alias("occurrence_count"), F.max_by(newest, F.struct("ingested_at", "id")).alias("newest")
     )
     hit = grouped.filter(F.col("occurrence_count") >= F.greatest(F.lit(1), F.coalesce(F.nullif("threshold", F.lit(0)), F.lit(1))))
-    severity = F.coalesce(F.trim("rule_severity"), F.col("newest.severity"), F.lit("WARNING"))
+    severity = F.coalesce(strip(F.col("rule_severity")), F.col("newest.severity"), F.lit("WARNING"))
     rows = hit.select(
         rule_alert_key(F.col("rule_id"), F.col("system_id"), F.col("newest.severity"), F.col("newest.fault_type")).alias("alert_key"),
         F.lit("rule").alias("source_type"),
@@ -286,7 +287,7 @@ def escalate(alerts: DataFrame, actions: DataFrame, default_target: str = "") ->
     """
     latest = _latest_action(actions).select(F.col("__alert").alias("id"), "at", "delivery_status")
     rows = alerts.join(latest, "id", "left")
-    target = F.nullif(F.trim(F.coalesce(F.nullif("escalation_target", F.lit("")), F.lit(default_target))), F.lit(""))
+    target = F.nullif(strip(F.coalesce(F.nullif("escalation_target", F.lit("")), F.lit(default_target))), F.lit(""))
     hit = F.col("at").isNotNull()
     status = F.when(target.isNull(), "no_target").otherwise(F.coalesce("delivery_status", F.lit("queued")))
     return rows.withColumns(
@@ -317,7 +318,7 @@ def new_rule(rules: DataFrame) -> DataFrame:
     return rules.withColumns(
         {
             "cooldown_minutes": F.greatest(F.lit(1), F.coalesce("cooldown_minutes", F.lit(ACK_COOLDOWN_MINUTES))),
-            "escalation_target": F.nullif(F.trim("escalation_target"), F.lit("")),
+            "escalation_target": F.nullif(strip(F.col("escalation_target")), F.lit("")),
             "enabled": F.lit(True),
         }
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetsight.functions.clock import at, seconds_between
+from fleetsight.functions.clock import at, before, seconds_between
 from fleetsight.functions.coerce import js_round
 from fleetsight.functions.ordered import latest_per_key
 from fleetsight.functions.severity import severity_rank
@@ -250,12 +252,15 @@ def remediation_rates(log: DataFrame, keep: int | None = None) -> DataFrame:
     )
 
 
-def timeline(incidents: DataFrame, events: DataFrame, window_seconds: int = 600, keep: int = 12) -> DataFrame:
+def timeline(incidents: DataFrame, events: DataFrame, window_seconds: int = 600, keep: int = 12, since: datetime | None = None) -> DataFrame:
     """First ``keep`` events within the window around each incident on its host, in time order, with a causal mark.
 
     The interval join gets an equi key (host, time slot): an incident goes to its slot and both neighbours, an
-    event to its own. A causal event is followed, inside the cut list, by another fault within two minutes.
+    event to its own. A causal event is followed, inside the cut list, by another fault within two minutes. ``since`` is a
+    time no incident was created before, if the caller knows one: with it the scan of the events is pruned.
     """
+    if since is not None:
+        events = events.filter(F.col("ingested_at") >= before(since, window_seconds))
     slot = F.floor(F.unix_micros("created_at") / F.lit(window_seconds * 1_000_000)).cast("bigint")
     left = incidents.select("incident_key", "system_id", "created_at", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
     right = events.select(

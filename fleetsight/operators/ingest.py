@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetsight.functions.clock import before, shift_month
-from fleetsight.functions.coerce import INTEGER_TEXT, blank_to_null, first_text, number_from_text
+from fleetsight.functions.coerce import blank_to_null, first_text, number_from_text, whole_from_text
 from fleetsight.functions.ordered import latest_per_key, neighbour_in_time, rank_in_time
 from fleetsight.operators.shaping import host_metric, prepared_rows
 from fleetsight.schemas import COLLECTED_EVENT, ENVELOPE, PERCENT, RETENTION_DAYS
@@ -50,8 +50,7 @@ def _typed_event(e: Column) -> Column:
     for f in COLLECTED_EVENT:
         c = e[f.name]
         if not isinstance(f.dataType, T.StringType):
-            number = number_from_text(c)
-            c = number if isinstance(f.dataType, T.DoubleType) else F.when(c.rlike(INTEGER_TEXT), F.trim(c).try_cast(f.dataType))
+            c = number_from_text(c) if isinstance(f.dataType, T.DoubleType) else whole_from_text(c, f.dataType)
         made.append(c.alias(f.name))
     return F.struct(*made)
 

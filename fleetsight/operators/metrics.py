@@ -208,13 +208,16 @@ def exposition_lines(totals: DataFrame, prefix: str = "fleet") -> DataFrame:
     return totals.select(F.posexplode(F.array(*lines)).alias("line_no", "line")).orderBy("line_no")
 
 
-def throughput(events: DataFrame, as_of, window_seconds: float = 300, write_seconds: float = 60) -> DataFrame:
+def throughput(events: DataFrame, as_of, window_seconds: float = 300, write_seconds: float = 60, newest: Column | None = None) -> DataFrame:
     """Events per second now and in the window before, the change in percent, the write rate and the lag.
 
-    One scan of two windows with conditional aggregates; the lag uses the newest event inside them, which is the
-    table's newest unless the table has been silent for longer (then the lag is at least two windows).
+    One scan of two windows, which the time filter prunes, with conditional aggregates. The lag uses the newest event
+    inside them; for a table that has been silent for longer it is the age of ``newest`` (a time known from elsewhere,
+    such as the newest heartbeat), or the width of the scan if none is given.
     """
     ts = F.col("ingested_at")
+    reach = max(2 * window_seconds, write_seconds)
+    events = events.filter(in_window(ts, as_of, reach))
     now, prev = in_window(ts, as_of, window_seconds), in_window(ts, as_of, 2 * window_seconds)
     last = events.agg(
         F.count_if(now).alias("n_now"),
@@ -233,7 +236,8 @@ def throughput(events: DataFrame, as_of, window_seconds: float = 300, write_seco
     def rate(n: str, hi: str, lo: str) -> Column:
         return F.when(span(hi, lo) > 0, F.col(n) / span(hi, lo)).otherwise(0.0)
 
-    age = (F.unix_micros(before(as_of, 0)) - F.unix_micros("latest")) / F.lit(1_000_000.0)
+    known = [F.col("latest"), *([newest] if newest is not None else []), before(as_of, reach)]
+    age = (F.unix_micros(before(as_of, 0)) - F.unix_micros(F.coalesce(*known))) / F.lit(1_000_000.0)
     return (
         last.withColumn("events_per_sec", F.round(rate("n_now", "hi_now", "lo_now"), 1))
         .withColumn("prev", rate("n_prev", "hi_prev", "lo_prev"))

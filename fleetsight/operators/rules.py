@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.functions.coerce import number_from_text
+from fleetsight.functions.coerce import number_from_text, strip
 from fleetsight.functions.ordered import trailing_count
 from fleetsight.schemas import RULE_LOOKBACK_SECONDS
 
@@ -26,7 +26,7 @@ ALIASES = {
     "provider": "provider_name",
 }
 
-# Columns a rule can see: on a live event, when counting earlier matches, and in a backfill.
+# Columns a rule can see, on a live event, when counting earlier matches, and in a backfill.
 LIVE_FIELDS = [
     "id", "system_id", "hostname", "provider_name", "severity", "fault_type", "diagnostic_context", "ingested_at",
     "event_record_id", "event_hash", "cpu_usage_percent", "memory_usage_percent", "disk_free_percent",
@@ -37,22 +37,25 @@ COUNTED_FIELDS = [
     "cpu_usage_percent", "memory_usage_percent", "disk_free_percent", "normalized_message",
 ]
 
-MAX_RULE_FIELDS = 1000
+#: Parsed rules up to this number are broadcast; more are spread over salted copies of their field.
+BROADCAST_RULES = 20_000
+#: Parts that the events of one field are dealt to when the rules are not broadcast.
+SALTS = 32
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
 def parse_rules(rules: DataFrame, fix_double_equals: bool = False) -> DataFrame:
     """Adds field, op and expected; malformed conditions are dropped."""
     pattern = CONDITION_FIXED if fix_double_equals else CONDITION
-    text = F.coalesce(F.trim("condition"), F.lit(""))
+    text = F.coalesce(strip(F.col("condition")), F.lit(""))
     parts = rules.withColumns({n: F.regexp_extract(text, pattern, i) for i, n in enumerate(("raw_field", "op", "raw_value"), 1)})
     parts = parts.filter(F.col("op") != "")
-    field = F.lower(F.trim("raw_field"))
+    field = F.lower(strip(F.col("raw_field")))
     aliases = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
     return parts.withColumns(
         {
             "field": F.coalesce(F.try_element_at(aliases, field), field),
-            "expected": F.regexp_replace(F.trim("raw_value"), "^['\"]+|['\"]+$", ""),
+            "expected": F.regexp_replace(strip(F.col("raw_value")), "^['\"]+|['\"]+$", ""),
         }
     ).drop("raw_field", "raw_value")
 
@@ -66,10 +69,10 @@ def _as_text(events: DataFrame, name: str) -> Column:
 def context_value(events: DataFrame, name: str, fields: list[str] = LIVE_FIELDS) -> Column:
     """Text value of a field: the column if the row has it, else that key of the diagnostic JSON object."""
     if name in fields and name in events.columns:
-        return F.trim(_as_text(events, name))
+        return strip(_as_text(events, name))
     if name in fields:
         return F.lit(None).cast("string")
-    return F.trim(F.get_json_object("diagnostic_context", f"$['{name}']"))
+    return strip(F.get_json_object("diagnostic_context", f"$['{name}']"))
 
 
 def context_number(events: DataFrame, name: str, fields: list[str] = LIVE_FIELDS) -> Column:
@@ -104,32 +107,40 @@ def condition_holds(actual: Column, op: Column, expected: Column, a: Column | No
     return F.coalesce(found, F.lit(False))
 
 
+def _diagnostic_pair(key: Column) -> Column:
+    """(field, actual, actual_number) of one key of the diagnostic object."""
+    value = strip(F.call_function("get_json_object", F.col("diagnostic_context"), F.concat(F.lit("$['"), key, F.lit("']"))))
+    return F.struct(key.alias("field"), value.alias("actual"), number_from_text(value).alias("actual_number"))
+
+
 def match_rules(
     events: DataFrame, rules: DataFrame, keep: list[str], fields: list[str] = LIVE_FIELDS, fix_double_equals: bool = False
 ) -> DataFrame:
     """Every (event, enabled rule) pair whose condition holds.
 
     Not a cross join: an event becomes one (field, value) row per field that some rule names, and those rows meet
-    the rules on the field name. Only the distinct field names come to the driver, and their number is checked.
-    Whether the rules are broadcast is left to Spark, which knows their size.
+    the rules on the field name. A name is a column (only those that rules use are unpivoted) or a key of the
+    event's diagnostic JSON object. Rules are broadcast up to ``BROADCAST_RULES``; beyond that the few field names are
+    no fit shuffle keys, so the events of a field go to ``SALTS`` parts and the rules to each of them.
     """
     enabled = rules.filter(F.coalesce("enabled", F.lit(True))) if "enabled" in rules.columns else rules
     parsed = parse_rules(enabled, fix_double_equals)
-    names = [r["field"] for r in parsed.select("field").distinct().limit(MAX_RULE_FIELDS + 1).collect()]
-    if len(names) > MAX_RULE_FIELDS:
-        raise ValueError(f"rules name more than {MAX_RULE_FIELDS} fields")
+    is_column = F.col("field").isin(*fields)
+    n, used, others = parsed.agg(F.count(F.lit(1)), F.collect_set(F.when(is_column, F.col("field"))), F.count_if(~is_column)).first()
     pairs = [
         F.struct(
             F.lit(name).alias("field"),
             context_value(events, name, fields).alias("actual"),
             context_number(events, name, fields).alias("actual_number"),
         )
-        for name in sorted(names)
+        for name in sorted(used)
     ]
-    if not pairs:
-        none = F.lit(None)
-        pairs = [F.struct(none.cast("string").alias("field"), none.cast("string").alias("actual"), none.cast("double").alias("actual_number"))]
-    values = events.select(*keep, F.inline(F.array(*pairs))).filter(F.col("actual").isNotNull())
+    listed = F.array(*pairs) if pairs else F.array().cast("array<struct<field:string,actual:string,actual_number:double>>")
+    if others and "diagnostic_context" in events.columns:
+        keys = F.array_distinct(F.json_object_keys("diagnostic_context"))
+        outside = F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: ~k.isin(*fields))
+        listed = F.concat(listed, F.transform(outside, _diagnostic_pair))
+    values = events.select(*keep, F.inline(listed)).filter(F.col("actual").isNotNull())
     rule_side = parsed.select(
         F.col("id").alias("rule_id"),
         "rule_name",
@@ -142,7 +153,12 @@ def match_rules(
         "expected",
         number_from_text(F.col("expected")).alias("expected_number"),
     )
-    joined = values.join(rule_side, "field")
+    if n <= BROADCAST_RULES:
+        joined = values.join(F.broadcast(rule_side), "field")
+    else:
+        part = F.pmod(F.xxhash64(*keep, "actual"), F.lit(SALTS))
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+        joined = values.withColumn("__part", part).join(rule_side.withColumn("__part", copies), ["field", "__part"]).drop("__part")
     holds = condition_holds(F.col("actual"), F.col("op"), F.col("expected"), F.col("actual_number"), F.col("expected_number"))
     return joined.filter(holds).drop("actual_number", "expected_number")
 

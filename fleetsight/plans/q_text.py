@@ -46,6 +46,14 @@ def _(t):
     return t.table("documents").select("doc_id", text.event_hash(F.col("text"), F.col("lang"), F.col("doc_id")).alias("event_hash"))
 
 
+@query("f05_padded_alert_keys", """
+SELECT id, sha256('native|' || system_id || '|' || severity || '|' || fault_type || '|' || coalesce(fault_subtype,'UNKNOWN') || '|' || provider_name) AS native_key FROM tel""")
+def _(t):
+    c = F.col
+    padded = [F.concat(F.lit("\t "), c("system_id"), F.lit("\n")), F.concat(c("severity"), F.lit("\u00a0")), F.concat(F.lit("\u2003\x1c"), c("fault_type"))]
+    return t.tel.select("id", text.native_alert_key(*padded, c("fault_subtype"), F.concat(F.lit("\r\n"), c("provider_name"))).alias("native_key"))
+
+
 @query("f05_alert_keys", """
 SELECT id, sha256('native|' || system_id || '|' || severity || '|' || fault_type || '|' || coalesce(fault_subtype,'UNKNOWN') || '|' || provider_name) AS native_key,
  sha256('rule|' || CAST(event_code AS VARCHAR) || '|' || system_id || '|' || severity || '|' || fault_type) AS rule_key FROM tel""")

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fleetsight.operators import adaptive, alerts, resource_events
+from fleetsight.operators import adaptive, alerts, resource_events, rules
 
 START = datetime(2024, 1, 1)
 FIXED = {"source_type": "native", "rule_id": None, "rule_name": "R", "system_id": "S", "severity": "ERROR", "escalation_target": None, "metadata": "{}"}
@@ -135,3 +135,13 @@ def test_rules_without_parsable_condition(spark, tables):
 
     none = tables.rules.filter(F.col("id") == 7)
     assert rules.match_rules(tables.tel, none, ["id"]).count() == 0
+
+
+def test_many_rules_join_in_salted_parts(tables, monkeypatch):
+    """Without a broadcast the same pairs come out, and no field's events go to one task."""
+    events = tables.tel.withColumn("normalized_message", F.lower("event_message"))
+    want = sorted(map(tuple, rules.match_rules(events, tables.rules, ["id"]).select("rule_id", "id", "actual").collect()))
+    monkeypatch.setattr(rules, "BROADCAST_RULES", 1)
+    salted = rules.match_rules(events, tables.rules, ["id"])
+    assert sorted(map(tuple, salted.select("rule_id", "id", "actual").collect())) == want
+    assert "__part" in salted._jdf.queryExecution().optimizedPlan().toString()

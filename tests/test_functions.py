@@ -42,7 +42,7 @@ def test_truncate_utf8(spark, body, n):
     assert one(spark, text.truncate_utf8(F.lit(body), n)) == body.encode()[:n].decode(errors="ignore")
 
 
-@pytest.mark.parametrize("raw,as_int,as_float", [("7", 7, 7.0), (" 8 ", 8, 8.0), ("7.9", -1, 7.9), ("5d", -1, 0.5), ("x", -1, 0.5), (None, -1, 0.5), ("1e3", -1, 1000.0), ("-.5", -1, -0.5), ("", -1, 0.5)])
+@pytest.mark.parametrize("raw,as_int,as_float", [("7", 7, 7.0), (" 8 ", 8, 8.0), ("7.9", -1, 7.9), ("5d", -1, 0.5), ("x", -1, 0.5), (None, -1, 0.5), ("1e3", -1, 1000.0), ("\t9\u2003", 9, 9.0), ("9\n9", -1, 0.5), ("-.5", -1, -0.5), ("", -1, 0.5)])
 def test_number_text(spark, raw, as_int, as_float):
     c = F.lit(raw).cast("string")
     assert one(spark, coerce.int_or(c, -1, is_text=True)) == as_int
@@ -54,6 +54,11 @@ def test_bounded_limit(given, want):
     assert coerce.bounded_limit(given) == want
 
 
+@pytest.mark.parametrize("raw", [" a\tb ", "\ta b\n", "\u00a0x\u3000", "\x1c\x1dy\x85", "\u200bz", "", " \t"])
+def test_strip_is_unicode_aware(spark, raw):
+    assert one(spark, coerce.strip(F.lit(raw))) == raw.strip()
+
+
 def test_text_or_keeps_blank(spark):
     assert one(spark, coerce.text_or(F.lit("  "), "f")) == ""
     assert one(spark, coerce.text_or(F.lit(None).cast("string"), "f")) == "f"

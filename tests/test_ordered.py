@@ -67,6 +67,32 @@ def test_percentile(rows, fraction):
     assert got == pytest.approx(float(np.percentile(values, fraction * 100)), rel=1e-9)
 
 
+def test_percentile_cuts_a_heavy_bin_again(spark):
+    """Two far outliers put all other rows into one bin; no aggregate may gather more than ``few`` rows."""
+    values = [float(x) for x in range(5000)] + [-1e300, 1.7e308, 7.0, 7.0]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for fraction in (0.0, 0.31, 0.5, 0.9995, 1.0):
+        assert exact_percentile(df, "x", fraction, bins=50, few=100) == pytest.approx(float(np.percentile(values, fraction * 100)), rel=1e-9)
+
+
+@pytest.mark.parametrize("make", [lambda d: rank_in_time(d, ["k"], "ts", "id", total="n"), lambda d: neighbour_in_time(d, ["k"], "ts", "id", {"pv": "v"})])
+def test_rows_are_shuffled_once(spark, rows, make, tmp_path):
+    """With broadcast off the join and the window share one partitioning; the other exchanges carry aggregates."""
+    rows.write.parquet(str(tmp_path / "rows"))
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        plan = make(spark.read.parquet(str(tmp_path / "rows")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    # what lies below each exchange, down to the next one or the end of its branch
+    below = [part.split("FileScan")[0] for part in plan.split("Exchange hashpartitioning")[1:] if "FileScan" in part]
+    assert sum("Aggregate" not in part for part in below) == 1, plan
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 20_000)), min_size=1, max_size=40))
 def test_rank_property(spark, items):

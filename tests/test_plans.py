@@ -19,7 +19,7 @@ def test_no_cross_or_nested_loop_joins(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["a02_metrics_last_6h", "a03_kpis", "a10_mean_gap", "s08_retained_events", "a20_health_scores"])
+@pytest.mark.parametrize("name", ["a02_metrics_last_6h", "a03_kpis", "a10_mean_gap", "s08_retained_events", "a20_health_scores", "a09_throughput"])
 def test_time_window_reaches_the_scan(spark, name):
     text = plan(spark, name)
     assert "GreaterThan(ts," in text or "GreaterThanOrEqual(ts," in text
