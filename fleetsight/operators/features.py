@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,14 @@ def stat_columns() -> list[Column]:
     ]
 
 
-def combined_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The statistics per key in two hash aggregates.
+def time_and_id(ts: str, tie: str) -> Column:
+    """(time, id) as one number that sorts alike; unlike a struct it fits the fixed-width state of a hash aggregate."""
+    step = F.lit(Decimal(2 * 10**19)).cast("decimal(20,0)")  # more than the number of 64-bit ids
+    return F.unix_micros(ts).cast("decimal(17,0)") * step + F.coalesce(F.col(tie), F.lit(0)).cast("decimal(19,0)")
+
+
+def combined_stats(rows: DataFrame, keys: list[str], newest: tuple[str, ...] = (), place: Column | None = None) -> DataFrame:
+    """The statistics per key, and of some columns the value at the highest ``place``, in two hash aggregates.
 
     ``mode`` keeps a map per group and falls back to sorting its input once a task sees more than a few groups.
     Counting per (key, fault) first needs only fixed-width buffers, so the pass over the data stays a hash
@@ -46,17 +54,19 @@ def combined_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     confidence = F.coalesce(F.col("confidence_score"), F.lit(0.20).cast(CONFIDENCE))
     per_fault = rows.groupBy(*keys, "fault_type").agg(
-        F.count(F.lit(1)).alias("n"), *severity_counts(), F.sum(confidence).alias("confidence")
-    )
+        F.count(F.lit(1)).alias("n"), *severity_counts(), F.sum(confidence).alias("confidence"),
+        *([F.max(place).alias("__place")] if newest else []), *[F.max_by(c, place).alias(c) for c in newest],
+    )
     names = ["critical_count", "error_count", "warning_count", "info_count"]
     known = F.col("fault_type").isNotNull()
-    place = F.when(known, F.struct((-F.col("n")).alias("rank"), F.col("fault_type").alias("name")))
+    frequent = F.when(known, F.struct((-F.col("n")).alias("rank"), F.col("fault_type").alias("name")))
     mean = F.round(F.try_divide(F.sum("confidence"), F.sum("n")), 2).cast(CONFIDENCE)
     return per_fault.groupBy(*keys).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names],
-        F.coalesce(F.min(place)["name"], F.lit("NONE")).alias("dominant_fault_type"),
+        F.coalesce(F.min(frequent)["name"], F.lit("NONE")).alias("dominant_fault_type"),
         F.coalesce(mean, F.lit(0.20).cast(CONFIDENCE)).alias("avg_confidence"),
+        *[F.max_by(c, "__place").alias(c) for c in newest],
     )
 
 
@@ -103,11 +113,9 @@ def windowed_snapshots(events: DataFrame, lookback_seconds: int, interval_second
     """
     every = interval_seconds or lookback_seconds
     win = F.window("ingested_at", f"{lookback_seconds} seconds", f"{every} seconds")
-    reading = F.struct("cpu_usage_percent", "memory_usage_percent", "disk_free_percent")
-    grouped = events.groupBy("system_id", win.alias("w")).agg(
-        *stat_columns(), F.max_by(reading, F.struct("ingested_at", "id")).alias("reading")
-    )
-    rows = grouped.select("*", "reading.*", F.col("w.start").alias("snapshot_time"))
+    placed = events.withColumn("snapshot_time", win["start"])
+    readings = ("cpu_usage_percent", "memory_usage_percent", "disk_free_percent")
+    rows = combined_stats(placed, ["system_id", "snapshot_time"], readings, time_and_id("ingested_at", "id"))
     return conform(rows, SNAPSHOTS, SNAPSHOT_DEFAULTS)
 
 

@@ -98,8 +98,8 @@ def event_rows(messages: DataFrame, *keep: str) -> DataFrame:
     return prepared_rows(flatten_events(messages, *keep))
 
 
-def message_heartbeats(messages: DataFrame, time_column: str) -> DataFrame:
-    """One heartbeat candidate per message, also for messages without events."""
+def message_heartbeats(messages: DataFrame, time_column: str, *keep: str) -> DataFrame:
+    """One heartbeat candidate per message, also for messages without events. ``keep``: columns that break ties later."""
     info, first = F.col("msg.system_info"), F.col("first_event")
     # ``get`` yields NULL past the end, so messages without events fall through to the defaults.
     rows = messages.withColumn("first_event", F.get(message_events(), 0))
@@ -114,6 +114,7 @@ def message_heartbeats(messages: DataFrame, time_column: str) -> DataFrame:
         F.coalesce(info["ip_address"], F.lit("Unknown")).alias("ip_address"),
         F.coalesce(info["uptime_seconds"], F.col("msg.uptime_seconds"), F.lit(0)).alias("uptime_seconds"),
         F.col(time_column).alias("last_seen"),
+        *keep,
     )
 
 
@@ -167,11 +168,21 @@ def new_marks(records: DataFrame, channel: str = "log_channel", record_id: str =
     return records.groupBy(channel).agg(F.max(record_id).alias("last_record_id"))
 
 
-def tail(events: DataFrame, cursor: int | None = None, first: int = 50, page: int = 250) -> DataFrame:
-    """Without a cursor the newest 50 in ascending order, with one the next 250."""
+def tail(events: DataFrame, cursor=None, first: int = 50, page: int = 250, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Without a cursor the newest 50 in ascending order, with one the next 250.
+
+    The store of the ingest job has hashed ids, so it is read ``by=("ingested_at", "id")``; the cursor then is that pair of
+    the last row read.
+    """
     if cursor is None:
-        return events.orderBy(F.col("id").desc()).limit(first).orderBy("id")
-    return events.filter(F.col("id") > cursor).orderBy("id").limit(page)
+        return events.orderBy(*[F.col(c).desc() for c in by]).limit(first).orderBy(*by)
+    marks = cursor if isinstance(cursor, tuple) else (cursor,)
+    at = [F.lit(m).cast(events.schema[c].dataType) for c, m in zip(by, marks, strict=True)]
+    beyond, same = F.lit(False), F.lit(True)
+    for c, mark in zip(by, at):
+        beyond, same = beyond | (same & (F.col(c) > mark)), same & (F.col(c) == mark)
+    # the bound on the first column alone is what the scan can use
+    return events.filter((F.col(by[0]) >= at[0]) & beyond).orderBy(*by).limit(page)
 
 
 def chunk_size(n: Column, base: int = 20, largest: int = 100) -> Column:

@@ -256,7 +256,7 @@ def prepared_rows(exploded: DataFrame) -> DataFrame:
         "log_channel", "event_record_id", "provider_name", "event_id", "level", "task", "opcode", "keywords",
         "process_id", "thread_id", "severity", "fault_type",
     ]
-    extra = [c for c in ("ingested_at",) if c in exploded.columns]
+    extra = [c for c in ("ingested_at", "dedupe_key") if c in exploded.columns]
     return exploded.select(
         "system_id",
         "hostname",

@@ -70,7 +70,7 @@ SELECT system_id, hostname, CAST(CASE WHEN severity IN ('ERROR','WARNING') THEN
  CAST(100 AS DOUBLE) AS disk_free_percent, 'os-1' AS os_version, 'Unknown' AS agent_version, CAST(0 AS BIGINT) AS uptime_seconds, ingested_at AS last_seen
 FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY ingested_at DESC) AS r FROM tel WHERE {WELL_FORMED} AND {NAMED}) x WHERE r = 1""")
 def _(t):
-    return ingest.latest_heartbeats(ingest.message_heartbeats(_accepted(t), "received_at")).drop("ip_address")
+    return ingest.latest_heartbeats(ingest.message_heartbeats(_accepted(t), "received_at", "offset"), "offset").drop("ip_address", "offset")
 
 
 @query("p21_heartbeat_candidates", f"""

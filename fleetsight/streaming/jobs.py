@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from fleetsight.operators import alerts, ingest, resource_events
 from fleetsight.operators.features import stat_columns
 from fleetsight.operators.metrics import severity_counts
 from fleetsight.operators.shaping import host_label
+from fleetsight.schemas import RULE_LOOKBACK_SECONDS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LAG_WARNING = 250
@@ -33,40 +35,87 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
 # ---------------------------------------------------------------- ingest
 
 
+def source_place(messages: DataFrame) -> list[str]:
+    """Columns that name a message's place in its source, most significant first."""
+    return [c for c in ("topic", "partition", "offset") if c in messages.columns]
+
+
 def event_stream(messages: DataFrame, secret: str) -> DataFrame:
     """Decoded, gated, flattened and de-duplicated events.
 
     A hash is let through once, for good, as a unique constraint would; events without a hash get a key from
-    their message and place, so they never collide. The state is partitioned by hash.
+    their message (topic, partition and offset, as far as the source has them) and place, so they never collide. The
+    state is partitioned by hash.
     """
+    place = source_place(messages)
     good = ingest.identified(ingest.accepted(ingest.decode_envelopes(messages), secret))
     flat = good.select(
-        "system_id", "hostname", F.col("msg.system_info").alias("system_info"), F.col("received_at").alias("ingested_at"), "offset",
+        "system_id", "hostname", F.col("msg.system_info").alias("system_info"), F.col("received_at").alias("ingested_at"), *place,
         F.posexplode(ingest.message_events()).alias("position", "event"),
     )
-    own = F.concat_ws(":", F.lit("no-hash"), "system_id", F.col("offset").cast("string"), F.col("position").cast("string"))
+    own = F.concat_ws(":", F.lit("no-hash"), "system_id", *[F.col(c).cast("string") for c in (*place, "position")])
     return flat.withColumn("dedupe_key", F.coalesce("event.event_hash", own)).dropDuplicates(["dedupe_key"])
 
 
-def start_event_ingest(messages: DataFrame, secret: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Events and native alert candidates per micro-batch.
+def start_event_ingest(
+    messages: DataFrame, secret: str, out: str, checkpoint: str, once: bool = True, rules: DataFrame | None = None, lookback_seconds: int = RULE_LOOKBACK_SECONDS
+) -> StreamingQuery:
+    """Events, alert candidates (native, and of ``rules`` if given) and their alert rows per micro-batch.
 
-    Each batch overwrites its own ``batch_id`` folder, so a replayed batch does not append twice.
+    Each batch overwrites its own partitions (month and batch, by dynamic overwrite), so a replayed batch does not
+    append twice. Rules count their matches over the stored events of the lookback as well. ``alert_deltas`` holds one
+    row per alert key and batch; ``alert_rows`` sums them up.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = ingest.prepared_rows(batch).withColumn("id", F.xxhash64(F.coalesce("event_hash", F.lit("")), "event_record_id", "system_id", "ingested_at"))
-        rows.persist()
+        # the key of an event is its hash, or its place in the source: ids of events without a hash differ too
+        rows = ingest.prepared_rows(batch).withColumn("id", F.xxhash64("dedupe_key")).drop("dedupe_key")
+        rows = rows.persist()
         try:
-            months = ingest.with_month(rows)
-            months.write.mode("overwrite").partitionBy("event_month").parquet(f"{out}/events/batch_id={batch_id}")
-            alerts.native_candidates(rows).write.mode("overwrite").parquet(f"{out}/candidates/batch_id={batch_id}")
+            candidates = alerts.native_candidates(rows)
+            if rules is not None:
+                seen = _with_history(rows, f"{out}/events", batch_id, lookback_seconds)
+                fired = alerts.rule_candidates(seen, rules, lookback_seconds)
+                fresh = rows.select(F.col("id").alias("source_event_id"))
+                candidates = candidates.unionByName(fired.join(fresh, "source_event_id", "left_semi").select(*candidates.columns))
+            _write_batch(ingest.with_month(rows), f"{out}/events", batch_id, "event_month")
+            _write_batch(candidates, f"{out}/candidates", batch_id)
+            _write_batch(alerts.roll_up(candidates), f"{out}/alert_deltas", batch_id)
         finally:
             rows.unpersist()
 
     return _start(event_stream(messages, secret).writeStream.foreachBatch(write), checkpoint, once)
 
 
+def _write_batch(rows: DataFrame, path: str, batch_id: int, *above: str) -> None:
+    placed = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*above, "batch_id").parquet(path)
+
+
+def _with_history(rows: DataFrame, path: str, batch_id: int, lookback_seconds: int) -> DataFrame:
+    """A batch and the stored events of earlier batches that its lookback reaches; month folders outside are not read."""
+    oldest = rows.agg(F.min("ingested_at")).first()[0]
+    if batch_id == 0 or oldest is None:
+        return rows
+    since = F.lit(oldest) - F.make_dt_interval(secs=F.lit(lookback_seconds))
+    layout = T.StructType([*rows.schema.fields, T.StructField("event_month", T.StringType()), T.StructField("batch_id", T.LongType())])
+    stored = rows.sparkSession.read.schema(layout).parquet(path)
+    near = (F.col("event_month") >= F.date_format(since, "yyyyMM")) & (F.col("ingested_at") >= since)
+    return rows.unionByName(stored.filter(near & (F.col("batch_id") < batch_id)).select(*rows.columns))
+
+
+def alert_rows(deltas: DataFrame) -> DataFrame:
+    """The alert per key from the rows per key and batch."""
+    first, last = F.struct("first_seen_at", "batch_id"), F.struct("last_seen_at", "source_event_id")
+    fixed = ("source_type", "rule_id", "rule_name", "system_id", "hostname", "severity")
+    fresh = ("title", "description", "escalation_target", "metadata", "source_event_id")
+    grouped = deltas.groupBy("alert_key").agg(
+        F.min_by(F.struct(*fixed), first).alias("first"), F.max_by(F.struct(*fresh), last).alias("last"),
+        F.sum("occurrence_count").alias("occurrence_count"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
+    )
+    return grouped.select("alert_key", "first.*", "last.*", "occurrence_count", "first_seen_at", "last_seen_at")
+
+
 def start_dead_letters(messages: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Messages that are not JSON objects, kept as they came."""
     bad = ingest.dead_letters(ingest.decode_envelopes(messages)).select("value", "received_at", "offset")
@@ -76,9 +125,11 @@ def start_dead_letters(messages: DataFrame, out: str, checkpoint: str, once: boo
 def heartbeat_stream(messages: DataFrame, secret: str) -> DataFrame:
     """Newest heartbeat per system; one row of state per system."""
     good = ingest.identified(ingest.accepted(ingest.decode_envelopes(messages), secret))
-    candidates = ingest.message_heartbeats(good, "received_at")
-    values = F.struct(*[c for c in candidates.columns if c != "system_id"])
-    newest = candidates.groupBy("system_id").agg(F.max_by(values, "last_seen").alias("h"))
+    place = source_place(messages)
+    candidates = ingest.message_heartbeats(good, "received_at", *place)
+    values = F.struct(*[c for c in candidates.columns if c not in ("system_id", *place)])
+    # of messages received at one time the later in the source wins, in a re-run as well
+    newest = candidates.groupBy("system_id").agg(F.max_by(values, F.struct("last_seen", *place)).alias("h"))
     return newest.select("system_id", "h.*")
 
 
@@ -141,32 +192,16 @@ def resource_event_stream(candidates: DataFrame, every: float = resource_events.
     )
 
 
-ALERT_DDL = "alert_key string, severity string, title string, occurrence_count bigint, first_seen_at timestamp, last_seen_at timestamp, source_event_id bigint"
-
-
 def alert_stream(candidates: DataFrame) -> DataFrame:
-    """Active alert per key, updated by each batch of candidates.
-
-    The state is one row per key, and a batch is walked row by row without being gathered; its size is bounded by
-    the source's rate limit.
-    """
-
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        severity, title, n, first, last, event = old if old else ("", "", 0, None, None, None)
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                n += 1
-                if first is None or row.seen_at < first:
-                    first = row.seen_at
-                if last is None or (row.seen_at, row.source_event_id) >= (last, event):
-                    severity, title, last, event = row.severity, row.title, row.seen_at, row.source_event_id
-        state.update((severity, title, n, first, last, event))
-        yield pd.DataFrame([(key[0], severity, title, n, first, last, event)], columns=[c.split()[0] for c in ALERT_DDL.split(", ")])
-
-    return candidates.select("alert_key", "severity", "title", "seen_at", "source_event_id").groupBy("alert_key").applyInPandasWithState(
-        step, ALERT_DDL, "severity string, title string, n bigint, first timestamp, last timestamp, event bigint", "update", "NoTimeout"
+    """Active alert per key, updated by each batch of candidates: one streaming aggregate, one row of state per key."""
+    place = F.struct("seen_at", "source_event_id")
+    grouped = candidates.groupBy("alert_key").agg(
+        F.max_by(F.struct("severity", "title", "source_event_id"), place).alias("last"),
+        F.count(F.lit(1)).alias("occurrence_count"),
+        F.min("seen_at").alias("first_seen_at"),
+        F.max("seen_at").alias("last_seen_at"),
     )
+    return grouped.select("alert_key", "last.severity", "last.title", "occurrence_count", "first_seen_at", "last_seen_at", "last.source_event_id")
 
 
 def liveness_stream(heartbeats: DataFrame, offline_seconds: int = 120) -> DataFrame:
@@ -219,10 +254,10 @@ def source_lag(progress: dict, warning: int = LAG_WARNING) -> dict:
 
 
 class BatchMonitor(StreamingQueryListener):
-    """Collects rate, observed counters and lag of each micro-batch."""
+    """Rate, observed counters and lag of the newest ``keep`` micro-batches."""
 
-    def __init__(self) -> None:
-        self.batches: list[dict] = []
+    def __init__(self, keep: int = 1000) -> None:
+        self.batches: deque[dict] = deque(maxlen=keep)
 
     def onQueryStarted(self, event) -> None:
         pass

@@ -1,4 +1,4 @@
-"""Streaming sources. Every source yields ``value`` (JSON text), ``received_at`` and ``offset``."""
+"""Streaming sources. Every source yields ``value`` (JSON text), ``received_at`` and ``offset``, Kafka also its topic and partition."""
 
 from __future__ import annotations
 
@@ -20,7 +20,12 @@ def kafka_messages(spark: SparkSession, servers: str, topic: str, max_offsets_pe
     )
     for name, value in options.items():
         reader = reader.option(name, value)
-    return reader.load().select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("received_at"), "offset")
+    return kafka_rows(reader.load())
+
+
+def kafka_rows(records: DataFrame) -> DataFrame:
+    """The columns of a message from records with Kafka's schema; an offset is unique only with topic and partition."""
+    return records.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("received_at"), "topic", "partition", "offset")
 
 
 def file_messages(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:

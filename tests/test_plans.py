@@ -64,3 +64,10 @@ def test_feature_statistics_hash_aggregate_the_data(spark):
     text = plan(spark, "a01_feature_stats_all_hosts")
     scan_side = text.split("Exchange")[-1]
     assert "HashAggregate" in scan_side and "SortAggregate" not in scan_side and "ObjectHashAggregate" not in scan_side
+
+
+def test_windowed_snapshots_hash_aggregate_the_data(spark):
+    """Snapshots carry the newest readings too; still no map task sorts the events."""
+    text = plan(spark, "t03_windowed_snapshots") if "t03_windowed_snapshots" in QUERIES else plan(spark, "p23_read_snapshots")
+    scan_side = text.split("Exchange")[-1]
+    assert "HashAggregate" in scan_side and "SortAggregate" not in scan_side and "ObjectHashAggregate" not in scan_side

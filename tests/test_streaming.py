@@ -1,6 +1,8 @@
 """Streams run to completion over files give what the batch operators give."""
 
 import time
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,43 @@ def test_event_ingest_equals_batch(spark, tables, message_dir, tmp_path):
     assert spark.read.parquet(f"{out}/candidates").count() == severe
 
 
+def test_ingest_fires_rules_over_several_batches(spark, tables, message_dir, tmp_path):
+    """Rule counts reach back into earlier batches, and a replayed batch changes nothing."""
+    out = str(tmp_path / "out")
+    rule = spark.createDataFrame([(1, "Errors", "severity = ERROR", "ERROR", 1, 30, None, True)], tables.rules.schema)
+    stream = sources.file_messages(spark, message_dir, max_files=1)
+    jobs.start_event_ingest(stream, SECRET, out, str(tmp_path / "cp"), rules=rule, lookback_seconds=3600).awaitTermination(240)
+    events = spark.read.parquet(f"{out}/events")
+    assert events.select("batch_id").distinct().count() > 1
+    assert events.select("id").distinct().count() == events.count()
+    got = spark.read.parquet(f"{out}/candidates").groupBy("source_type").count().collect()
+    native = events.filter(F.col("severity").isin("CRITICAL", "ERROR", "WARNING")).count()
+    assert {r[0]: r[1] for r in got} == {"native": native, "rule": events.filter("severity = 'ERROR'").count()}
+    live = jobs.alert_rows(spark.read.parquet(f"{out}/alert_deltas"))
+    want = alerts.roll_up(spark.read.parquet(f"{out}/candidates"))
+    cols = ["alert_key", "severity", "title", "occurrence_count", "first_seen_at", "last_seen_at", "source_event_id"]
+    assert sorted(live.select(*cols).collect()) == sorted(want.select(*cols).collect())
+    jobs._write_batch(ingest.with_month(events.filter("batch_id = 1").drop("event_month", "batch_id")), f"{out}/copy", 1, "event_month")
+    jobs._write_batch(ingest.with_month(events.filter("batch_id = 1").drop("event_month", "batch_id")), f"{out}/copy", 1, "event_month")
+    assert spark.read.parquet(f"{out}/copy").count() == events.filter("batch_id = 1").count()
+    page = ingest.tail(events, by=("ingested_at", "id")).collect()
+    assert len(page) == 50
+    newer = ingest.tail(events, (page[10].ingested_at, page[10].id), by=("ingested_at", "id")).collect()
+    assert [r.id for r in newer] == [r.id for r in page[11:]]
+
+
+def test_kafka_rows(spark):
+    """Offsets repeat across partitions; the place of a message has all three parts."""
+    schema = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, timestampType int"
+    text = b'{"agent_key": "%s", "system_id": "S", "events": [{"severity": "ERROR"}]}' % SECRET.encode()
+    at = datetime(2024, 1, 1)
+    records = spark.createDataFrame([(None, bytearray(text), "t", p, 7, at, 0) for p in (0, 1)], schema)
+    rows = sources.kafka_rows(records)
+    assert rows.columns == ["value", "received_at", "topic", "partition", "offset"]
+    assert jobs.event_stream(rows, SECRET).count() == 2
+    assert jobs.heartbeat_stream(rows, SECRET).columns[0] == "system_id" and jobs.heartbeat_stream(rows, SECRET).count() == 1
+
+
 def test_dead_letters(spark, tables, message_dir, tmp_path):
     out = str(tmp_path / "dlq")
     jobs.start_dead_letters(sources.file_messages(spark, message_dir), out, str(tmp_path / "cp")).awaitTermination(240)
