@@ -8,6 +8,7 @@ from fleetsight.functions.clock import at
 from fleetsight.operators import alerts, correlation, fleet, forecast, incidents, playbook, scoring, shaping, signals
 from fleetsight.plans.oracle_views import EPOCH
 from fleetsight.plans.registry import query
+from fleetsight.schemas import FOREST_CONTAMINATION, KMEANS_CLUSTERS
 from fleetsight.sources.adapter import DAY
 
 AS_OF = "(SELECT as_of FROM clk)"
@@ -417,6 +418,26 @@ def _(t):
     return scoring.isolation_forest(wide, "vec_id", columns).select("vec_id", "label", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
 
 
+@query("m02_forest_invariants", """
+SELECT count(*) AS rows, count(DISTINCT system_id) AS hosts, CAST(0 AS DOUBLE) AS lowest, CAST(1 AS DOUBLE) AS highest, true AS few_flagged, true AS flagged_score_highest FROM snaps1""")
+def _(t):
+    rows = t.snaps().withColumn("rid", F.xxhash64("system_id", "snapshot_time"))
+    flagged, score = F.col("is_anomaly"), F.col("anomaly_score")
+    return scoring.isolation_forest(rows, "rid").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("system_id").alias("hosts"), F.min(score).alias("lowest"), F.max(score).alias("highest"),
+        (F.count_if(flagged).between(1, F.ceil(F.count(F.lit(1)) * F.lit(FOREST_CONTAMINATION)))).alias("few_flagged"),
+        (F.min(F.when(flagged, score)) > F.max(F.when(~flagged, score))).alias("flagged_score_highest"),
+    )
+
+
+@query("m03_cluster_invariants", "SELECT count(*) AS rows, count(DISTINCT system_id) AS hosts, true AS within_k, true AS all_assigned FROM snaps1")
+def _(t):
+    return scoring.kmeans_clusters(t.snaps()).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("system_id").alias("hosts"),
+        F.countDistinct("cluster_id").between(2, KMEANS_CLUSTERS).alias("within_k"), (F.count("cluster_id") == F.count(F.lit(1))).alias("all_assigned"),
+    )
+
+
 @query("m03_kmeans_clusters")
 def _(t):
     return scoring.kmeans_clusters(t.snaps()).select("system_id", "snapshot_time", "cluster_id")
