@@ -38,7 +38,7 @@ class Chain:
         at = 0
         while at < len(order):
             most = max(2 * len(sequences[order[at]]), 16)
-            batch = [k for k in order[at : at + max(1, 200_000 // most)] if len(sequences[k]) <= most]
+            batch = [k for k in order[at : at + max(1, 1_000_000 // most)] if len(sequences[k]) <= most]
             at += len(batch)
             for k, path in zip(batch, self._decode([sequences[k] for k in batch])):
                 out[k] = path
@@ -47,7 +47,7 @@ class Chain:
     def _decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         n, sizes = len(sequences), np.array([len(s) for s in sequences])
         longest = sizes.max()
-        rows = np.zeros((n, longest, len(self.tables)), np.int32)
+        rows = np.zeros((n, longest, len(self.tables)), sequences[0].dtype)
         for k, s in enumerate(sequences):
             rows[k, : len(s)] = s
         scores = self.emissions(rows)

@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a conditional random field over word shapes for the forms that they miss.
 
-The field is trained on a small labelled table and decoded by Viterbi over batches. It reads the surroundings of every digit
-and at sign of a text, so plain prose costs one scan. A span that it finds counts if it could be of its kind (digits in
-number and check sum, an address with host) and touches no span of the patterns, which always stay.
+The field is trained on a small labelled table and decoded by Viterbi over batches. It reads every text whole, but for
+texts without a digit and without an address's host, as no span of theirs could count. A span that it finds counts if it
+could be of its kind (digits in number and check sum, an address with host) and touches no span of the patterns, which
+always stay.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +26,6 @@ from fleetsight.llm.crf import Chain, trained
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
-#: Characters on either side of a digit or at sign that the field reads.
-REACH = 48
-#: Tokens decoded as one sequence.
-LONGEST = 400
-
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -190,16 +188,61 @@ def model(lines: tuple[str, ...] = LABELLED) -> Chain:
     return trained(labelled_rows(lines), allowed=_allowed)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around digits and at signs, from white space to white space; none overlap."""
-    out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+class Coder:
+    """``chain.rows(features(...))`` of whole texts by table lookups: words, shapes and hints are numbered once."""
+
+    #: Words held with their numbers.
+    HELD = 200_000
+
+    def __init__(self, chain: Chain):
+        shapes, values = sorted({"^", "$", *chain.values[0]}), chain.values
+        size = len(shapes) + 1  # number 0 is any shape that training has not seen
+        self.shape = {s: k + 1 for k, s in enumerate(shapes)}
+        self.hint = {h: k + 1 for k, h in enumerate(sorted(HINTS))}
+        self.own, self.after = (np.array([0, *(values[f].get(s, 0) for s in shapes)], np.int16) for f in (0, 2))
+        self.before = np.array([[0, 0], *([values[1].get(s + g * "+", 0) for g in (0, 1)] for s in shapes)], np.int16)
+        self.three = np.zeros((size, size, size), np.int16)
+        for i, x in enumerate(shapes):
+            for j, y in enumerate(shapes):
+                self.three[i + 1, j + 1, 1:] = [values[3].get(f"{x}|{y}|{z}", 0) for z in shapes]
+        self.marks, self.near = (np.array([values[f].get(h, 0) for h in ("", *sorted(HINTS))], np.int16) for f in (4, 5))
+        self.joined = np.array([values[6].get(str(g), 0) for g in (False, True)], np.int16)
+        self.words: dict[str, int] = {}
+
+    def _number(self, word: str) -> int:
+        """Shape, hint and whether the word is letters, in one number."""
+        if len(self.words) >= self.HELD:
+            self.words.clear()
+        number = self.shape.get(shape(word), 0) << 8 | self.hint.get(word.lower(), 0) << 1 | word.isalpha()
+        self.words[word] = number
+        return number
+
+    def rows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature rows, starts, ends) of the tokens of a text."""
+        words, held = TOKEN.findall(text), self.words
+        n = len(words)
+        starts = np.fromiter((m.start() for m in TOKEN.finditer(text)), np.int64, n)
+        ends = starts + np.fromiter(map(len, words), np.int64, n)
+        codes = np.fromiter((held[w] if w in held else self._number(w) for w in words), np.int64, n)
+        glued = np.r_[False, starts[1:] == ends[:-1]][:n].astype(np.int64)
+        shapes = np.r_[self.shape["^"], codes >> 8, self.shape["$"]]
+        hints = codes >> 1 & 127
+        # the last word that sets or ends a hint: letters with one, or letters not joined to what stands before
+        sets = (codes & 1 > 0) & ((hints > 0) | (glued == 0))
+        last = np.maximum.accumulate(np.r_[-1, np.where(sets, np.arange(n), -1)])[:n]
+        seen = np.where(last < 0, 0, hints[last]) if n else hints
+        before, own, after = shapes[:-2], shapes[1:-1], shapes[2:]
+        rows = (self.own[own], self.before[before, glued], self.after[after], self.three[before, own, after], self.marks[hints], self.near[seen], self.joined[glued])
+        return np.stack(rows, axis=1), starts, ends
+
+
+_DOTTED = re.compile(r"[A-Za-z0-9-]\.[A-Za-z]{2}")
+_AT = re.compile(r"@|\bat\b", re.I)
+
+
+def readable(text: str) -> bool:
+    """Whether any span of the text could be ``plausible``: all need a digit, or a dotted host and a sign or word 'at'."""
+    return bool(_DIGIT.search(text) or _DOTTED.search(text) and _AT.search(text))
 
 
 def plausible(kind: str, found: str) -> bool:
@@ -215,29 +258,22 @@ def plausible(kind: str, found: str) -> bool:
     return bool(re.search(r"[A-Za-z0-9-]+\.[A-Za-z]{2,}", found)) and ("@" in found or re.search(r"\bat\b", found, re.I) is not None)
 
 
-def field_spans(texts: list[str], base: list[list[Span]], chain: Chain) -> list[list[Span]]:
+def field_spans(texts: list[str], base: list[list[Span]], chain: Chain, coder: Coder | None = None) -> list[list[Span]]:
     """Spans of the field in a batch of texts, those that touch no base span and could be of their kind."""
-    sequences, where = [], []
-    for k, text in enumerate(texts):
-        for a, b in windows(text):
-            words, glued, spans = tokenised(text[a:b])
-            for c in range(0, len(words), LONGEST):
-                part = slice(c, c + LONGEST)
-                sequences.append(chain.rows(features(words[part], glued[part])))
-                where.append((k, a, spans[part]))
+    coder = coder or Coder(chain)
+    read = [k for k, text in enumerate(texts) if readable(text)]
+    coded = [coder.rows(texts[k]) for k in read]
     out: list[list[Span]] = [[] for _ in texts]
     outside = chain.labels.index("O")
-    for (k, a, spans), path in zip(where, chain.viterbi(sequences)):
-        t = 0
-        while t < len(path):
-            if path[t] == outside:
-                t += 1
+    for k, (_, starts, ends), path in zip(read, coded, chain.viterbi([rows for rows, _, _ in coded])):
+        done = 0
+        for first in np.flatnonzero(path != outside).tolist():
+            if first < done:
                 continue
-            kind, first = chain.labels[path[t]][2:], t
-            t += 1
-            while t < len(path) and chain.labels[path[t]] == f"I-{kind}":
-                t += 1
-            s, e = a + spans[first][0], a + spans[t - 1][1]
+            kind, done = chain.labels[path[first]][2:], first + 1
+            while done < len(path) and chain.labels[path[done]] == f"I-{kind}":
+                done += 1
+            s, e = int(starts[first]), int(ends[done - 1])
             if plausible(kind, texts[k][s:e]) and all(e <= x or y <= s for _, x, y in base[k]):
                 out[k].append((kind, s, e))
     return out
@@ -261,19 +297,33 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
-#: Texts decoded together.
-BATCH = 500
+#: Texts, and bytes of them, decoded together; a longer text is decoded alone.
+BATCH = 2_000
+BATCH_BYTES = 4_000_000
+
+
+def _cuts(texts: pa.Array) -> list[tuple[int, int]]:
+    """(first row, rows) of the batches of a column."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    out, first, held = [], 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and (k - first >= BATCH or held + size > BATCH_BYTES):
+            out.append((first, k - first))
+            first, held = k, 0
+        held += size
+    return [*out, (first, len(sizes) - first)] if sizes else out
 
 
 def _finder(chain: Chain, schema: pa.Schema, redact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(chain)
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
+            for at, n in _cuts(whole.column(whole.num_columns - 1)):
+                batch = whole.slice(at, n)
                 raw = batch.column(batch.num_columns - 1).to_pylist()
                 texts = [t or "" for t in raw]
                 base = [base_spans(t) for t in texts]
-                more = field_spans(texts, base, chain)
+                more = field_spans(texts, base, chain, coder)
                 cols = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
                 cols += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), pa.array([joined(b + m) for b, m in zip(base, more)])]
                 if redact:

@@ -181,3 +181,23 @@ def test_neighbours_of_awkward_rows(spark):
     got = sorted(tuple(r) for r in neighbours.nearest(table, F.col("vec_id") % 100 == 0).collect())
     assert got == want
     assert neighbours.nearest(table.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_field_reads_whole_texts():
+    chain, prose = pii.model(), "the story goes on with many plain words and no signs at all " * 20
+    texts = [prose + inner + " today. " + prose for inner in ("write to anna at mail.example.com", "mail jo.smith (at) example.org", "email kim [at] blog.example.net")]
+    texts += [prose.strip(), "tel " + "(068) 555-2212 and 12 of 300 lines; call " * 400]
+    found = pii.field_spans(texts, [[] for _ in texts], chain)
+    assert ["example.com" in "".join(texts[k][a:b] for _, a, b in found[k]) for k in range(1)] == [True]
+    assert all(len(f) == 1 and f[0][0] == "email" for f in found[:3])
+    assert found[3] == [] and [texts[4][a:b] for _, a, b in found[4]] == ["(068) 555-2212"] * 400
+
+
+def test_coded_rows_are_the_features(documents):
+    chain = pii.model()
+    coder = pii.Coder(chain)
+    texts = [r.text for r in documents.select("text").limit(60).collect()] + ["", "^ $ | a|b +1 ½x 12٣4 _ at@mail.com call-me", *pii.LABELLED]
+    for text in texts:
+        words, glued, spans = pii.tokenised(text or "")
+        rows, starts, ends = coder.rows(text or "")
+        assert (rows == chain.rows(pii.features(words, glued))).all() and list(zip(starts, ends)) == spans
