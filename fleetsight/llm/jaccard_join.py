@@ -198,7 +198,7 @@ def _survivors(num: int, den: int):
             if room <= 0:
                 return None
             prefix = toks[np.lexsort((toks, df))[:room]]
-            return {"cid": head["doc_id"], "n": n, "toks": toks, "prefix": prefix}
+            return {"cid": head["cls"], "n": n, "toks": toks, "prefix": prefix}
 
         now, rows, done = None, [], []
         for batch in batches:
@@ -232,7 +232,7 @@ def _overlapping(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(members, comps): one row (cls, doc_id, n) per input row, and (cid, comp) for classes with links.
 
-    ``cid`` is the smallest id of a class, ``comp`` the smallest id reachable by links.
+    ``cid`` is the hash of a class, as ids may be null or repeat; ``comp`` is the smallest hash reachable by links.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -240,13 +240,13 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = packed.repartition(parts, "part").sortWithinPartitions("kind", "frag")
     shared = written(dealt.mapInArrow(_fragments, SHARED), "jaccard-shared")
     members = shared.where("kind = 2").select("cls", "doc_id", "n")
-    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    classes = members.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"))
 
     frequencies = shared.where("kind = 3").groupBy("token").agg(F.max("df").alias("df"))
     frequent = shared.where("kind = 1").select("cls", "token").distinct().join(frequencies, "token")
     none = lambda kind, *cols: [F.lit(kind).alias("kind"), "cls", *cols]
     rows = (
-        classes.select(*none(2, "doc_id", "n"))
+        classes.select(*none(2, "n"))
         .unionByName(shared.where("kind = 0").select(*none(0, "toks", "dfs")), allowMissingColumns=True)
         .unionByName(frequent.select(*none(1, "token", "df")), allowMissingColumns=True)
     )
@@ -299,13 +299,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two rows link when ``den * |A & B| >= num * |A | B|`` over their distinct ``width``-word shingles; a text with fewer
     words is one shingle. Null and empty texts have no shingles, link with nothing and keep their own id. A null id
-    takes part in links; its row gets the smallest id of its component, or null. Repeated rows come back repeated.
+    takes part in links; its row gets the smallest id of its component, or null. Texts that share an id, or have none, are
+    separate. Repeated rows come back repeated.
     Extra columns are ignored. An empty table gives an empty result.
     """
     members, comps = linked_classes(docs, id_col, text_col, width, num, den)
     # copies of one class are many rows of one key: a count combines before the shuffle, the join back is split by AQE
-    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n_copies"))
-    named = classes.join(comps, "cid", "left").select("cls", F.coalesce("comp", "cid").alias("component_id"), "n_copies")
+    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    linked = classes.join(comps, F.col("cls") == F.col("cid"))
+    names = linked.groupBy("comp").agg(F.min("least").alias("name"))
+    renamed = linked.join(names, "comp").select("cls", "name")
+    named = classes.join(renamed, "cls", "left").select("cls", F.coalesce("name", "least").alias("component_id"), "n_copies")
     whole = members.join(named, "cls", "left")
     empty = F.col("n") == 0
     return whole.select(

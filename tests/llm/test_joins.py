@@ -191,3 +191,14 @@ def test_repeats_of_awkward_rows(awkward, nothing):
     long = next(r for r in suffix_dedup.remove_repeats(awkward).collect() if r.doc_id == 8)
     assert long.n_removed == long.n_bytes == 300_000
     assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_texts_without_an_id_stay_apart(spark):
+    first, second = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    rows = [(1, first), (2, second), (None, first + " x"), (None, second + " y"), (7, first + " z"), (7, second + " z"), (8, "c d e f g h"), (9, "i j k l m n")]
+    rows += [(8, "o p q r s t"), (None, "u v w x y z"), (None, "1 2 3 4 5 6")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == Counter([(1, 1), (2, 2), (None, 1), (None, 2), (7, 1), (7, 2), (8, 8), (8, 8), (9, 9), (None, None), (None, None)])
+    kept = Counter(r.doc_id for r in jaccard_join.one_of_each(df).collect())
+    assert kept == Counter({1: 1, 2: 1, 8: 2, 9: 1, None: 4})
