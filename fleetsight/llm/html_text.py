@@ -39,21 +39,42 @@ OUTSIDE_WORDS = {
 }
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HINT = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+# words that a container's name adds to one of OUTSIDE_WORDS, and those of its place on the page, which only count outside articles
+CONTAINER_WORDS = {
+    "area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "links", "list", "main", "outer", "overlay",
+    "panel", "post", "posts", "section", "slot", "thread", "unit", "wrap", "wrapper",
+}
+PLACE_WORDS = {"bottom", "footer", "global", "header", "left", "mobile", "page", "primary", "right", "secondary", "site", "sticky", "top"}
+# fixed values: whole classes and ids of an article element that is no page's text
+CARD_WORDS = {"ad", "ads", "advert", "card", "comment", "comments", "promo", "promoted", "related", "replies", "reply", "sponsored", "teaser", "teasers"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+_WORD = re.compile(r"[a-z]+|[0-9]+")
+
+
+def _names_outside(name: str, in_main: bool) -> bool:
+    """Whether a class or id names a part outside the text: a known word, alone or with words of containers and numbers."""
+    words = set(_WORD.findall(name))
+    more = {w for w in words - OUTSIDE_WORDS if not w.isdigit()} - CONTAINER_WORDS
+    return bool(OUTSIDE_WORDS & words) and not (more if in_main else more - PLACE_WORDS)
 
 
-def _is_outside(tag: str, attributes: str) -> bool:
+def _is_outside(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in OUTSIDE:
         return True
-    if not attributes or tag in MAIN or tag in ("body", "html"):
+    if not attributes or tag in ("body", "html"):
         return False
-    for m in _HINT.finditer(attributes):
-        name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in OUTSIDE_ROLES:
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = (m.group(1) or "").lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value.strip() == "true":
             return True
-        if name in ("class", "id") and OUTSIDE_WORDS & set(_WORD.findall(value)):
+        if name == "role" and value.strip() in OUTSIDE_ROLES:
             return True
+        if name == "class" or name == "id" and tag not in HEADINGS:
+            for one in value.split():
+                if one in CARD_WORDS if tag in MAIN else _names_outside(one, in_main):
+                    return True
     return False
 
 
@@ -107,7 +128,7 @@ def lines(html: str) -> list[tuple[str, bool]]:
             elif tag in BLOCK:
                 close()
         else:
-            gone = _is_outside(tag, m.group(2))
+            gone = _is_outside(tag, m.group(2), main > 0)
             if tag in BLOCK or gone:
                 close()
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # ends an open one of its kind

@@ -41,6 +41,15 @@ def test_broken_markup():
     assert html_text.main_text("plain text") == "plain text"
 
 
+def test_names_that_only_contain_a_word_of_structure():
+    html = page(
+        '<div style="overflow:hidden" data-hidden="false" data-id="share" title="id=ads"><article><div class="entry-header"><h1>Head</h1></div><h2 id="social-impact">Impact</h2>'
+        '<section id="related-work"><p class="notice-period">Notice</p></section><div class="share-buttons">Tweet</div><div id="comment-12">Nice</div>'
+        "<p hidden>Gone</p><p hidden=until-found>Found</p><ul class='x related-posts'><li>Other</ul></article></div><div class='site-footer'>Foot</div>"
+    )
+    assert html_text.main_text(html) == "Head\n\nImpact\n\nNotice\n\nFound"
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = html_text.extract(pages).collect()
