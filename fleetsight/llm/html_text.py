@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one per block element; what page structure marks as no part of the article (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) goes with it. Over the lines that are left, text lengths are summed
-in a sliding window; the text starts where the sum surges and ends where it dives to nothing.
+in a sliding window; the text starts where the sum surges and ends where it dives to nothing. Article elements are a hint:
+where they hold most of the text, the window runs over their lines alone.
 """
 
 from __future__ import annotations
@@ -18,8 +19,13 @@ from pyspark.sql import functions as F
 
 #: Lines in the sliding window.
 WINDOW = 3
-#: Without an article element, a line block below this share of the densest one's text is outside the text.
-DIVE_SHARE = 0.05
+#: A line block with fewer characters is outside the text; on pages whose densest block is short, below this share of it.
+DIVE_CHARS = 60
+DIVE_SHARE = 0.25
+#: The same inside article elements, where titles and bylines are text: a block below it holds nothing but stray signs.
+MAIN_DIVE_CHARS = 10
+#: Article elements bound the text if they hold this share of the page's characters.
+MAIN_SHARE = 0.5
 
 # fixed values: element and attribute names of HTML
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math"}
@@ -152,20 +158,16 @@ def lines(html: str) -> list[tuple[str, bool]]:
 
 def text_between(found: list[tuple[str, bool]], window: int = WINDOW) -> list[str]:
     """The lines between the surge and the dive of the summed text lengths."""
-    if any(inside for _, inside in found):
-        size = np.array([len(t) if inside else 0 for t, inside in found], float)
-        least, window = 0.0, 1  # the article's own lines are known: any text is above the dive
-    else:
-        size = np.array([len(t) for t, _ in found], float)
-        if len(size) == 0:
-            return []
-        least = DIVE_SHARE * np.convolve(size, np.ones(window)).max()
-    block = np.convolve(size, np.ones(window))[: len(size)] if window == 1 else np.maximum(np.convolve(size, np.ones(window))[: len(size)], np.convolve(size, np.ones(window))[window - 1 :])
-    above = np.flatnonzero(block > least)
-    if len(above) == 0:
+    held = sum(len(t) for t, inside in found if inside)
+    least = DIVE_CHARS
+    if held and held >= MAIN_SHARE * sum(len(t) for t, _ in found):
+        found, least = [(t, inside) for t, inside in found if inside], MAIN_DIVE_CHARS
+    if not found:
         return []
-    surge, dive = above[0], above[-1]
-    return [t for k, (t, inside) in enumerate(found) if surge <= k <= dive and (size[k] > 0)]
+    sums = np.convolve([len(t) for t, _ in found], np.ones(window))
+    block = np.maximum(sums[: len(found)], sums[window - 1 :])  # the denser of those that end and that start at a line
+    above = np.flatnonzero(block >= min(least, DIVE_SHARE * block.max()))
+    return [t for t, _ in found[above[0] : above[-1] + 1]]
 
 
 def main_text(html: str | None) -> str:

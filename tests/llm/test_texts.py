@@ -41,6 +41,27 @@ def test_broken_markup():
     assert html_text.main_text("plain text") == "plain text"
 
 
+def test_one_very_long_paragraph():
+    blocks = [f"A paragraph of the story that is not long, number {k}." for k in range(6)]
+    for tag in ("article", "div"):
+        html = page(f"<{tag}>" + "".join(f"<p>{b}</p>" for b in [*blocks, "word " * 4_000, *blocks]) + f"</{tag}>")
+        assert len(html_text.main_text(html).split("\n\n")) == 13
+
+
+def test_articles_that_are_not_the_text():
+    story = "".join(f"<p>{'long text of the story ' * 8}{k}</p>" for k in range(6))
+    cards = "".join(f"<article><h3>Other {k}</h3><p>A teaser.</p></article>" for k in range(4))
+    assert html_text.main_text(page(f"<div>{story}</div>{cards}")).count("story") == 48
+    comments = "".join(f'<article class="comment"><p>{"I think so too. " * 80}</p></article>' for _ in range(4))
+    assert html_text.main_text(page(f"<div>{story}</div>{comments}")).split("\n\n") == [f"{'long text of the story ' * 8}{k}" for k in range(6)]
+
+
+def test_surge_and_dive_in_an_article():
+    lines = ["Top", "x", "y", *["A paragraph of the story that is long enough to be text."] * 3, "a", "b", "c"]
+    found = html_text.main_text(page("<article>" + "".join(f"<p>{t}</p>" for t in lines) + "</article>")).split("\n\n")
+    assert found == lines[1:8]
+
+
 def test_names_that_only_contain_a_word_of_structure():
     html = page(
         '<div style="overflow:hidden" data-hidden="false" data-id="share" title="id=ads"><article><div class="entry-header"><h1>Head</h1></div><h2 id="social-impact">Impact</h2>'
