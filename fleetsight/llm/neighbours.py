@@ -8,6 +8,7 @@ trees at once, and its candidates are ranked by exact distance leaf by leaf.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,10 @@ TREES = 16
 SAMPLE_ROWS = 20_000
 #: Rows wanted in a leaf; a tree has no more leaves than a quarter of its sample.
 LEAF_ROWS = 150
-#: Leaves that a query opens over all trees.
+#: Leaves that a query opens over all trees, at least.
 LEAVES = 320
+#: Share of all leaves that a query opens, so that the share of rows it sees does not fall as the table grows.
+LEAF_SHARE = 0.04
 
 
 @dataclass
@@ -183,7 +186,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return fine.where(F.size("v") == (common["d"] if common else 0))
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaves: int = LEAVES, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaves: int = LEAVES, leaf_share: float = LEAF_SHARE, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each query, its own id left out.
 
     ``is_query`` is a condition on ``vec_id``. Distances are Euclidean, in double precision, ties go to the smaller id.
@@ -194,13 +197,15 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
     fine = usable(vectors, id_col, vector_col)
-    numbered = fine.withColumn("__r", F.row_number().over(Window.partitionBy(F.xxhash64("v")).orderBy("vec_id"))).where(F.col("__r") <= k + 1)
+    # repeated rows go first, as they would fill the places of other ids
+    numbered = fine.dropDuplicates(["vec_id", "v"]).withColumn("__r", F.row_number().over(Window.partitionBy(F.xxhash64("v")).orderBy("vec_id"))).where(F.col("__r") <= k + 1)
     distinct = written(numbered.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
     n = distinct.count()
     sample = np.array([r["v"] for r in distinct.select("v").orderBy(F.xxhash64("v", F.lit(seed))).limit(sample_rows).collect()])
     least = max(4, int(leaf_rows * len(sample) / max(n, 1)))
     rng = np.random.default_rng(seed)
     forest = [grown(sample, least, rng) for _ in range(trees)]
+    leaves = max(leaves, math.ceil(leaf_share * sum(len(tree.cut) + 1 for tree in forest)))
     rows = distinct.select("v", "ids").mapInArrow(_routed_rows(forest), ROUTED_DDL)
     asked = fine.where(is_query).dropDuplicates(["vec_id"]).select("v", "vec_id").mapInArrow(_routed_queries(forest, leaves), ROUTED_DDL)
     dealt = asked.unionByName(rows).repartition(parts, "tree", "leaf").sortWithinPartitions("tree", "leaf", F.col("query").asc_nulls_last())

@@ -201,3 +201,20 @@ def test_coded_rows_are_the_features(documents):
         words, glued, spans = pii.tokenised(text or "")
         rows, starts, ends = coder.rows(text or "")
         assert (rows == chain.rows(pii.features(words, glued))).all() and list(zip(starts, ends)) == spans
+
+
+def test_neighbours_of_repeated_rows(spark):
+    rows = [(k, [1.0, 2.0]) for k in range(30) for _ in range(3)] + [(100 + k, [5.0, 2.0 + k]) for k in range(5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(k, 0.0) for k in range(1, 11)]
+
+
+def test_leaves_follow_the_table(spark, monkeypatch):
+    rng, asked = np.random.default_rng(3), []
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(3_000, 8)))], "vec_id long, embedding array<double>")
+    whole = neighbours._routed_queries
+    monkeypatch.setattr(neighbours, "_routed_queries", lambda forest, leaves: asked.append((leaves, sum(len(t.cut) + 1 for t in forest))) or whole(forest, leaves))
+    for leaf_rows in (150, 5):
+        neighbours.nearest(table, F.col("vec_id") < 3, leaves=8, leaf_rows=leaf_rows).count()
+    assert asked[1][1] > 8 * asked[0][1] and all(0.04 * total <= leaves < 0.04 * total + 8 for leaves, total in asked)
