@@ -96,6 +96,19 @@ def test_license_notices(spark, awkward, nothing):
     assert len(repeated) == 2 * len(got)
 
 
+def test_whole_licenses():
+    index = licenses.Index([*licenses.TEMPLATES.items(), *licenses.whole_texts().items()])
+    names = lambda text: [m[0] for m in index.matches(text, licenses.WordHashes())]
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT-text", "AGPL-3.0-header", "LGPL-2.1-header", "GPL-2.0-header"):
+        assert names(f"Copyright 2020 A. Author. {licenses.TEMPLATES[name]} And prose.") == [name]
+    assert names(licenses.TEMPLATES["MIT-text"][:190]) == []
+    assert names("Licensed under the MIT License") == names("Released under the MIT licence") == ["MIT"]
+    texts = licenses.whole_texts()
+    assert {"Apache-2.0-text", "GPL-3.0-text", "LGPL-3.0-text"} <= set(texts)
+    for name, text in texts.items():
+        assert name in names(f"Some prose. {text}")
+
+
 def test_license_scan_against_search(spark, documents):
     texts = dict(documents.select("doc_id", "text").collect())
     got = {(r.doc_id, r.license) for r in licenses.scan(documents).collect() if r.coverage == 1}
