@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import decontaminate, html_text, jaccard_join, licenses, mixing, neighbours, pii, quality, suffix_dedup, toxicity
+from fleetsight.llm import byte_bpe, conversations, decontaminate, fill_middle, html_text, jaccard_join, licenses, mixing, neighbours, pii, quality, suffix_dedup, toxicity
 from fleetsight.llm.stage import table
 
 
@@ -56,11 +56,31 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(encoded, ranks)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_decontamination, op3_license_scan, op4_html_extraction, op5_personal_data,
         op6_quality, op7_poisson_mixing, op8_jaccard_join, op9_suffix_dedup, op10_neighbours,
+        op11_fill_middle, op12_byte_bpe, op13_conversation_repair,
     )
 }
-ORACLES = {"op7_poisson_mixing": mixing.ORACLE}
+ORACLES = {"op7_poisson_mixing": mixing.ORACLE, "op11_fill_middle": fill_middle.ORACLE}
