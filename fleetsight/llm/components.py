@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.llm.stage import written
+from fleetsight.llm.stage import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(small_low, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
         after = written(moved.where("src <> dst").distinct(), "cc")
         mark, before = _mark(after), mark
+        forget(now)
         now = after
         if mark == before:
             break

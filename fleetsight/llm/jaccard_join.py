@@ -8,9 +8,11 @@ Steps:
    frequent inside one batch of documents travels as a count to its fragment, its postings in chunks to any task.
 3. The global order is (frequency, hash), rarest first. Two sets that link share a shingle among the first
    ``n - ceil(0.75 n) + 1`` of either; a class whose prefix is filled by shingles of its own alone has no links.
-4. Within the classes that share a prefix shingle, members are compared with a hub, then with another hub while the
-   turns find links, and at last across the components that are left. So the number of compared
-   pairs follows the postings, not the square of a group, and no link between two components can be missed.
+4. Within the classes that share a prefix shingle, members are compared with a hub, the class with the largest share of
+   shingles that others have too, then with others while the turns find links, and at last across the components that
+   are left, so no link between two components can be missed. A pair leaves the join only if what follows the shingle
+   in both sets can make up the overlap and if the bitmaps of the two sets do not rule it out: with a parity bit per
+   hash bucket, the bits in which they differ are a lower bound of the shingles that only one of them has.
 5. A compared pair's overlap is the sum of partial overlaps, one per vertical fragment of the two sets.
 """
 
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight.llm.components import components
-from fleetsight.llm.stage import shuffle_partitions, written
-from fleetsight.llm.words import WordHashes, gram_hashes, spaced_words
+from fleetsight.llm.stage import forget, shuffle_partitions, written
+from fleetsight.llm.words import WordHashes, gram_hashes, mixed, spaced_words
 
 #: Shingles packed by a task before it hands them on.
 FLUSH = 400_000
@@ -35,7 +37,9 @@ FREQUENT = 64
 #: Vertical fragments in which the overlap of a pair is counted.
 OVERLAP_FRAGMENTS = 8
 #: Turns with a single hub per shingle, at most, before the components that are left are compared in full.
-HUB_ROUNDS = 5
+HUB_ROUNDS = 3
+#: Longs of the bitmap of a set.
+BITMAP = 4
 #: Stands for a null id while ids are compared; never returned.
 NO_ID = 2**63 - 1
 
@@ -179,7 +183,15 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fragment(kept, hot, hot_n)
 
 
-SURVIVOR = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+SURVIVOR = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), *((f"b{k}", pa.int64()) for k in range(BITMAP))])
+ALIVE = "cid long, n int, toks array<long>, prefix array<long>, " + ", ".join(f"b{k} long" for k in range(BITMAP))
+
+
+def bitmap(toks: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles in each hash bucket, as longs."""
+    bucket = (mixed(toks.view(np.uint64)) >> np.uint64(40)) % np.uint64(64 * BITMAP)
+    odd = np.bincount(bucket.astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _survivors(num: int, den: int):
@@ -198,7 +210,7 @@ def _survivors(num: int, den: int):
             if room <= 0:
                 return None
             prefix = toks[np.lexsort((toks, df))[:room]]
-            return {"cid": head["cls"], "n": n, "toks": toks, "prefix": prefix}
+            return {"cid": head["cls"], "n": n, "toks": toks, "prefix": prefix, **{f"b{k}": b for k, b in enumerate(bitmap(toks).tolist())}}
 
         now, rows, done = None, [], []
         for batch in batches:
@@ -225,8 +237,8 @@ def _overlapping(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("fragments").alias("fa"))
     right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("fragments").alias("fb"))
     partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
-    summed = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda t, k: t + k).alias("k"))
-    return summed.where(F.col("k") * den >= num * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+    summed = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "na", "nb", F.aggregate(partial, F.lit(0), lambda t, k: t + k).alias("k"))
+    return summed.where(F.col("k") * den >= num * (F.col("na") + F.col("nb") - F.col("k"))).select(*pairs.columns)
 
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -251,49 +263,70 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .unionByName(frequent.select(*none(1, "token", "df")), allowMissingColumns=True)
     )
     by_class = rows.repartition(parts, "cls").sortWithinPartitions("cls")
-    alive = written(by_class.mapInArrow(_survivors(num, den), "cid long, n int, toks array<long>, prefix array<long>"), "jaccard-alive")
+    alive = written(by_class.mapInArrow(_survivors(num, den), ALIVE), "jaccard-alive")
 
     fragments = F.transform(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1)), lambda f: F.filter("toks", lambda t: F.pmod(t, F.lit(OVERLAP_FRAGMENTS)) == f))
     sets = alive.select("cid", "n", fragments.alias("fragments"))
+    bits = [f"b{k}" for k in range(BITMAP)]
     # left: how many shingles of the class stand at this one or after it in the global order
-    postings = alive.select("cid", "n", F.size("toks").alias("left"), F.posexplode("prefix").alias("at", "token")).withColumn("left", F.col("left") - F.col("at")).drop("at")
-    alone = postings.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("token")
-    postings = written(postings.join(alone, "token"), "jaccard-postings")
+    postings = alive.select("cid", "n", F.size("toks").alias("t"), *bits, F.posexplode("prefix").alias("at", "token"))
+    postings = postings.withColumn("left", F.col("t") - F.col("at")).drop("at").withColumn("comp", F.col("cid"))
+    open_ = written(_several(postings), "jaccard-open")
 
+    hub = {"cid": "hub", "n": "m", "left": "hub_left", "t": "u", "comp": "hub_comp", **{b: f"hub_{b}" for b in bits}}
+    need = (F.col("n") + F.col("m")) * num
     # a shared shingle is the first one that two linked sets share only if what follows it in both can make up the overlap
-    enough = F.least("left", "hub_left") * (num + den) >= (F.col("n") + F.col("m")) * num
-    near = enough & (F.least("n", "m") * den >= F.greatest("n", "m") * num) & (F.col("cid") != F.col("hub"))
-    links, comps, turn, found_some = None, None, 0, True
-    while True:
-        if comps is None:
-            open_ = postings.withColumn("comp", F.col("cid"))
-        else:
-            named = postings.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-            several = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-            open_ = written(named.join(several, "token"), "jaccard-open")
-            if open_.isEmpty():
-                break
-        in_full = turn == HUB_ROUNDS or not found_some
+    enough = (F.least("left", "hub_left") * (num + den) >= need) & (F.least("n", "m") * den >= F.greatest("n", "m") * num)
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in bits), F.lit(0))
+    alike = (F.col("t") + F.col("u") - apart) * (num + den) >= need * 2
+    comps, turn, going = None, 0, True
+    while going and not open_.isEmpty():
+        in_full = turn == HUB_ROUNDS
         if in_full:
-            hubs = open_.select("token", F.col("cid").alias("hub"), F.col("n").alias("m"), F.col("left").alias("hub_left"), F.col("comp").alias("hub_comp"))
+            hubs = open_.select("token", *(F.col(c).alias(as_) for c, as_ in hub.items()))
+            other = F.col("comp") < F.col("hub_comp")
         else:
-            # another hub each turn: the smallest of the ids as scrambled by the turn, the same for all its shingles
-            mark = F.col("cid") if turn == 0 else F.xxhash64("cid", F.lit(turn))
-            hubs = open_.groupBy("token").agg(F.min_by(F.struct("cid", "n", "left", "comp"), mark).alias("h"))
-            hubs = hubs.select("token", F.col("h.cid").alias("hub"), F.col("h.n").alias("m"), F.col("h.left").alias("hub_left"), F.col("h.comp").alias("hub_comp"))
-        met = open_.join(hubs, "token").where(near & (F.col("comp") < F.col("hub_comp") if in_full else F.col("comp") != F.col("hub_comp")))
-        pairs = met.select(F.least("cid", "hub").alias("b"), F.greatest("cid", "hub").alias("a")).distinct()
-        found = written(_overlapping(pairs, sets, num, den), "jaccard-links")
-        found_some = not found.isEmpty()
-        if found_some or links is None:
-            links = found if links is None else links.unionByName(found)
-            comps = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        if in_full:
-            break
-        turn += 1
+            # first the class with the largest share of shared shingles, then those that the turn's hash puts first
+            mark = F.struct(-F.col("t") / F.col("n"), "cid") if turn == 0 else F.struct(F.xxhash64("cid", F.lit(turn)))
+            hubs = open_.groupBy("token").agg(F.min_by(F.struct(*hub), mark).alias("h"))
+            hubs = hubs.select("token", *(F.col(f"h.{c}").alias(as_) for c, as_ in hub.items()))
+            other = F.col("comp") != F.col("hub_comp")
+        met = open_.join(hubs, "token").where(other & enough & alike)
+        ordered = F.struct(F.col("cid").alias("a"), F.col("comp").alias("ca")), F.struct(F.col("hub").alias("a"), F.col("hub_comp").alias("ca"))
+        pairs = met.select(F.greatest(*ordered).alias("x"), F.least(*ordered).alias("y")).select(F.col("x.a").alias("a"), F.col("x.ca").alias("ca"), F.col("y.a").alias("b"), F.col("y.ca").alias("cb")).distinct()
+        found = written(_overlapping(pairs, sets, num, den).select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct(), "jaccard-links")
+        if found.isEmpty():
+            turn, going = HUB_ROUNDS, not in_full
+            forget(found)
+            continue
+        moved = written(components(found), "jaccard-moved")
+        comps, old = written(_renamed(comps, moved), "jaccard-comps") if comps is not None else moved, comps
+        forget(found, *([moved, old] if old is not None else []))
+        going, turn = not in_full, turn + 1
+        if going:
+            renames = comps.where("cid <> comp").select(F.col("cid").alias("__cid"), F.col("comp").alias("__comp"))
+            named = open_.join(renames, F.col("cid") == F.col("__cid"), "left").withColumn("comp", F.coalesce("__comp", "comp")).drop("__cid", "__comp")
+            open_, old = written(_several(named), "jaccard-open"), open_
+            forget(old)
+    forget(open_)
+    if comps is None:
+        comps = members.select(F.col("cls").alias("cid"), F.col("cls").alias("comp")).where("false")
     return members, comps.select("cid", "comp")
 
 
+def _several(postings: DataFrame) -> DataFrame:
+    """The postings of shingles whose classes are in several components."""
+    tokens = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return postings.join(tokens, "token")
+
+
+def _renamed(comps: DataFrame, moved: DataFrame) -> DataFrame:
+    """(cid, comp) after the components named in ``moved(cid, comp)`` have moved into others."""
+    to = moved.select(F.col("cid").alias("__from"), F.col("comp").alias("__to"))
+    later = comps.join(to, F.col("comp") == F.col("__from"), "left").select("cid", F.coalesce("__to", "comp").alias("comp"))
+    return later.unionByName(moved.join(comps.select("cid"), "cid", "left_anti").select("cid", "comp"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``n_copies`` (rows of the same set, itself included).
 

@@ -61,6 +61,35 @@ def test_near_copies_that_no_single_hub_links(spark):
     assert got == brute_components(rows)
 
 
+def test_near_copies_around_the_threshold(spark, monkeypatch):
+    """Variants of one text that link with some of the others only, with and without the text itself."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(120)]
+        for v in range(60):
+            own = list(words)
+            for k in rng.choice(120, rng.integers(1, 6), replace=False):
+                own[k] = f"v{rng.integers(9)}"
+            rows.append((1000 * base + v, " ".join(own)))
+        if base:
+            rows.append((1000 * base + 500, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for rounds in (0, 1, 3):
+        monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", rounds)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()} == want
+
+
+def test_bitmaps_never_rule_out_more_than_differs():
+    rng = np.random.default_rng(9)
+    for n in (1, 30, 400, 5000):
+        a = rng.integers(-(2**63), 2**63 - 1, n)
+        b = np.r_[a[: n // 2], rng.integers(-(2**63), 2**63 - 1, n // 3)]
+        bits = sum(int(x).bit_count() for x in (jaccard_join.bitmap(a) ^ jaccard_join.bitmap(b)).view(np.uint64))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_join_of_awkward_rows(awkward, nothing):
     got = sorted(map(tuple, jaccard_join.jaccard_components(awkward).collect()), key=str)
     assert len(got) == 10
