@@ -49,7 +49,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=True)
+    # a cut may fall inside a character: what is left of it shows as a replacement sign in the text, not in the digest
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,11 +272,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = named.withColumns({"did": F.coalesce("doc_id", F.lit(-1)), "kh": F.xxhash64("text")})
     occ = written(keyed.select("did", "kh", "text").mapInArrow(_occurrences(length, gram), "did long, kh long, anchor long, ctx long, start int, windows int"), "suffix-anchors")
-    again = occ.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    # counts are written, so that both sides of a join by anchor are plain shuffles and AQE can split a hot anchor
+    again = written(occ.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "suffix-counts")
     occ = written(occ.join(again, "anchor"), "suffix-again")
     distinct = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("did", "kh", "start", "windows")).alias("at"))
     distinct = distinct.select("anchor", "ctx", "n", "at.*")
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("k"))
+    distinct = written(distinct, "suffix-distinct")
+    several = written(distinct.groupBy("anchor").agg(F.count("*").alias("k")), "suffix-several")
     distinct = written(distinct.join(several, "anchor"), "suffix-contexts")
     wanted = distinct.where("k > 1").groupBy("did", "kh").agg(F.collect_list(F.struct("anchor", "ctx", "n", "start", "windows")).alias("wanted"))
     bodies = written(keyed.join(wanted, ["did", "kh"]).select("text", "wanted").mapInArrow(_cut(length), "anchor long, ctx long, n long, windows int, body binary"), "suffix-bodies")
