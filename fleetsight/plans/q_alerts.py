@@ -117,7 +117,7 @@ def _(t):
     return rows.select("alert_key", "occurrence_count", "first_seen_at", "last_seen_at", "source_event_id")
 
 
-def _acks(candidates):
+def acknowledgements(candidates):
     born = candidates.groupBy("alert_key").agg(F.min("seen_at").alias("born"), F.min("severity").alias("severity"))
     first = born.select("alert_key", (F.col("born") + F.expr("INTERVAL 5 DAYS")).alias("acked_at"), F.lit(4320).alias("cooldown_minutes"))
     second = born.filter("severity = 'WARNING'").select(
@@ -128,7 +128,7 @@ def _acks(candidates):
 
 def _acked_alerts(t):
     candidates = alerts.native_candidates(t.tel)
-    return alerts.roll_up_with_acks(candidates, _acks(candidates))
+    return alerts.roll_up_with_acks(candidates, acknowledgements(candidates))
 
 
 ALERT_OUT = "alert_key, episode, severity, title, description, hostname, source_event_id, occurrence_count, first_seen_at, last_seen_at, acknowledged, acknowledged_at, suppressed_until"

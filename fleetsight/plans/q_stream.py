@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetsight.operators import ingest, resource_events
+from fleetsight.operators import alerts, ingest, resource_events
 from fleetsight.plans.oracle_views import EPOCH
+from fleetsight.plans.q_alerts import ALERT_OUT, acknowledgements
 from fleetsight.plans.registry import query
-from fleetsight.streaming import jobs
+from fleetsight.streaming import alert_state, jobs
 
 
 @query("t02_live_signals", f"""
@@ -47,7 +48,12 @@ def _(t):
 
 @query("t06_alert_state", "SELECT alert_key, occurrence_count, first_seen_at, last_seen_at, source_event_id FROM alerts")
 def _(t):
-    from fleetsight.operators import alerts
-
     rows = alerts.roll_up(alerts.native_candidates(t.tel))
     return rows.select("alert_key", "occurrence_count", "first_seen_at", "last_seen_at", "source_event_id")
+
+
+@query("t06_alert_state_with_acks", f"SELECT {ALERT_OUT} FROM acked_alerts")
+def _(t):
+    """The stream itself, run to completion over several micro-batches of the recorded candidates and acknowledgements."""
+    candidates = alerts.native_candidates(t.tel)
+    return alert_state.replayed_alerts(candidates, acknowledgements(candidates)).select(*[c.strip() for c in ALERT_OUT.split(",")])
