@@ -96,10 +96,10 @@ class AlertState(StatefulProcessor):
             elif current and self.forget_after and _millis(current["last_seen_at"] + self.forget_after) <= passed:
                 self.current.clear()
             return iter(())
-        changed = []
+        changed, told = [], dict(current) if current else None  # a copy, as upsert changes an alert in place
         for row in due:
             if current and self.forget_after and row[0] > current["last_seen_at"] + self.forget_after:
-                changed.append(current)
+                changed += [current] if current != told else []
                 current = None
             before = current
             current, opened = upsert(current, row)
