@@ -14,47 +14,52 @@ from fleetsight.schemas import COLLECTED_EVENT, ENVELOPE, PERCENT, RETENTION_DAY
 
 
 def decode_envelopes(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Parse JSON text; rows that are not one whole object are no ``is_object`` and go to the dead-letter output.
+    """Parse JSON text once, as a VARIANT; rows that are not one whole object are no ``is_object`` and go to the dead-letter output.
 
-    Entries of ``events`` that are no object are dropped, the others kept; numbers may come as text.
+    ``msg`` has the fields of the envelope, each read from the parsed value only where it is used; ``msg.events`` and
+    ``msg.event`` are VARIANTs. Numbers may come as text. ``NaN`` and single quotes are no JSON.
 
-    The parsed struct comes out of a one-element explode: a generator keeps Catalyst from copying ``from_json``
-    into every later use of one of its fields, so each message is parsed once.
+    The text is read as the first entry of a list whose second is its own hash: text behind the object breaks the list or
+    puts something else in that place. The parsed value comes out of a one-element explode: a generator keeps Catalyst
+    from copying the parser into every later use.
     """
     raw = F.col(value).cast("string")
-    message = F.from_json(raw, ENVELOPE, {"mode": "PERMISSIVE"})
-    parsed = F.explode(F.transform(F.array(message), _with_events)).alias("msg")
-    # inside brackets, text behind the object breaks the list or lengthens it
-    alone = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")
-    whole = raw.rlike(r"^\s*\{") & raw.rlike(r"\}\s*$") & (F.size(alone) == 1)
-    is_object = F.coalesce(whole, F.lit(False)) & F.col("msg").isNotNull()
-    return messages.select("*", parsed).withColumn("is_object", is_object)
+    mark = F.xxhash64(raw)
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), mark.cast("string"), F.lit("]")))
+    parsed = messages.select("*", F.explode(F.array(listed)).alias("__parsed"))
+    whole = raw.rlike(r"^\s*\{") & (F.try_variant_get("__parsed", "$[1]", "bigint") == mark)
+    kinds = {"events": "array<variant>", "event": "variant"}
 
+    def read(fields: T.StructType, path: str) -> Column:
+        made = []
+        for f in fields:
+            at = f"{path}.{f.name}"
+            nested = isinstance(f.dataType, T.StructType)
+            made.append((read(f.dataType, at) if nested else F.try_variant_get("__parsed", at, kinds.get(f.name, f.dataType.simpleString()))).alias(f.name))
+        return F.struct(*made)
 
-def _with_events(msg: Column) -> Column:
-    """The message with its ``events`` and ``event`` as structs, NULL where the text is no list or no object."""
-    listed = F.when(msg["events"].rlike(r"^\s*\["), F.from_json(msg["events"], "array<string>"))
-    single = F.get(_event_structs(F.array(msg["event"])), 0)
-    return msg.withField("events", _event_structs(listed)).withField("event", single)
+    return parsed.withColumns({"msg": read(ENVELOPE, "$[0]"), "is_object": F.coalesce(whole, F.lit(False))}).drop("__parsed")
 
 
-def _event_structs(texts: Column) -> Column:
-    objects = F.filter(texts, lambda e: F.coalesce(e.rlike(r"^\s*\{"), F.lit(False)))
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in COLLECTED_EVENT])
-    return F.transform(F.transform(objects, lambda e: F.from_json(e, as_text)), _typed_event)
+def typed_event(e: Column) -> Column:
+    """The fields of one event, a VARIANT, in their declared types; numbers sent as text count, anything else becomes NULL.
 
-
-def _typed_event(e: Column) -> Column:
-    """Each field in its declared type; numbers sent as text count, anything else becomes NULL."""
+    Applied after the list is exploded, so only the fields that are used are read and converted.
+    """
     made = []
     for f in COLLECTED_EVENT:
-        c = e[f.name]
+        c = F.try_variant_get(e, f"$.{f.name}", "string")
         if not isinstance(f.dataType, T.StringType):
             c = number_from_text(c) if isinstance(f.dataType, T.DoubleType) else whole_from_text(c, f.dataType)
         made.append(c.alias(f.name))
     return F.struct(*made)
 
 
+def is_object(e: Column) -> Column:
+    """Whether a VARIANT is an object: nothing else can be read as a struct."""
+    return F.try_variant_get(e, "$", f"struct<{COLLECTED_EVENT[0].name}:string>").isNotNull()
+
+
 def dead_letters(decoded: DataFrame) -> DataFrame:
     return decoded.filter(~F.col("is_object"))
 
@@ -82,16 +87,16 @@ def identified(decoded: DataFrame) -> DataFrame:
 
 
 def message_events() -> Column:
-    """``events`` if it is a list, even an empty one, else ``[event]``; NULL entries are dropped."""
-    listed = F.when(F.col("msg.events").isNotNull(), F.col("msg.events")).otherwise(F.array("msg.event"))
-    return F.filter(listed, lambda e: e.isNotNull())
+    """``events`` if it is a list, even an empty one, else ``[event]``, as VARIANTs. Entries may be no object: see ``is_object``."""
+    return F.coalesce("msg.events", F.array("msg.event"))
 
 
 def flatten_events(messages: DataFrame, *keep: str) -> DataFrame:
     """One row per event of an identified message."""
-    return messages.select(
+    rows = messages.select(
         "system_id", "hostname", F.col("msg.system_info").alias("system_info"), *keep, F.explode(message_events()).alias("event")
     )
+    return rows.where(is_object(F.col("event"))).withColumn("event", typed_event(F.col("event")))
 
 
 def event_rows(messages: DataFrame, *keep: str) -> DataFrame:
@@ -100,9 +105,9 @@ def event_rows(messages: DataFrame, *keep: str) -> DataFrame:
 
 def message_heartbeats(messages: DataFrame, time_column: str, *keep: str) -> DataFrame:
     """One heartbeat candidate per message, also for messages without events. ``keep``: columns that break ties later."""
-    info, first = F.col("msg.system_info"), F.col("first_event")
+    info, first = F.col("msg.system_info"), typed_event(F.col("first_event"))
     # ``get`` yields NULL past the end, so messages without events fall through to the defaults.
-    rows = messages.withColumn("first_event", F.get(message_events(), 0))
+    rows = messages.withColumn("first_event", F.get(F.filter(message_events(), is_object), 0))
     return rows.select(
         "system_id",
         "hostname",

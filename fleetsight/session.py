@@ -17,6 +17,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts, as in any JSON reader
     if spark.sparkContext.master.startswith("local") and conf.get("spark.sql.shuffle.partitions") == "200":
         conf.set("spark.sql.shuffle.partitions", "8")
     return spark

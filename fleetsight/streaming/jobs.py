@@ -52,7 +52,7 @@ def event_stream(messages: DataFrame, secret: str) -> DataFrame:
     flat = good.select(
         "system_id", "hostname", F.col("msg.system_info").alias("system_info"), F.col("received_at").alias("ingested_at"), *place,
         F.posexplode(ingest.message_events()).alias("position", "event"),
-    )
+    ).where(ingest.is_object(F.col("event"))).withColumn("event", ingest.typed_event(F.col("event")))
     own = F.concat_ws(":", F.lit("no-hash"), "system_id", *[F.col(c).cast("string") for c in (*place, "position")])
     return flat.withColumn("dedupe_key", F.coalesce("event.event_hash", own)).dropDuplicates(["dedupe_key"])
 

@@ -40,3 +40,18 @@ def test_broken_messages_are_dead_letters(spark, value):
 
 def test_whole_messages_are_not(spark):
     assert ingest.dead_letters(decoded(spark, " {} ", json.dumps(BASE), '{"text":"a } b {"}')).count() == 0
+
+
+@pytest.mark.parametrize("value", ['{"a":1},{"b":2}', '{"a":1},5', '{"a":1}] {}', '{"a":1}] {},0]', '{"a":NaN}', "{'a':1}"])
+def test_text_around_an_object_is_no_message(spark, value):
+    assert ingest.dead_letters(decoded(spark, value)).count() == 1
+
+
+def test_the_last_of_equal_keys_counts(spark):
+    assert decoded(spark, '{"agent_key":"a","agent_key":"b"}').select("msg.agent_key").first()[0] == "b"
+
+
+def test_each_message_is_parsed_once(spark):
+    rows = ingest.flatten_events(ingest.identified(ingest.accepted(decoded(spark, "{}"), "k")))
+    plan = rows.select("event.event_id", "event.cpu_usage_percent", "system_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("ParseJson") <= 1 and "from_json" not in plan
