@@ -57,14 +57,14 @@ def rates(docs: DataFrame, source_col: str = "source", weights: DataFrame | None
     return found.select("__source", "size", "rate", "parts", thresholds(F.col("rate") / F.col("parts")).alias("cdf"))
 
 
-def copies(key: F.Column, seed: int) -> F.Column:
-    """How often a document of the joined rate row is repeated."""
+def copies(key: F.Column, seed: int, rate: F.Column) -> F.Column:
+    """How often a document is repeated whose source has the rate row ``rate``."""
 
     def part(total, j):
         u = uniform(key, j, F.lit(seed))
-        return total + F.size(F.filter("cdf", lambda c: c <= u))
+        return total + F.size(F.filter(rate["cdf"], lambda c: c <= u))
 
-    return F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), part)
+    return F.aggregate(F.sequence(F.lit(1), rate["parts"]), F.lit(0), part)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None, budget: float | None = None, seed: int = 17) -> DataFrame:
@@ -77,12 +77,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     spark = docs.sparkSession
     # one small row per source: broadcast after a look at their number, else joined with the hot source split by AQE
     found = written(rates(docs, source_col, weights, budget), "mixing-rates")
-    if found.count() <= BROADCAST_SOURCES:
-        found = F.broadcast(found)
+    few = found.count() <= BROADCAST_SOURCES
+    found = found.select("__source", F.struct("parts", "cdf").alias("__rate"))  # names of its own: docs may have any columns
+    found = F.broadcast(found) if few else found
     mine = docs.drop("copy", "place").join(found, F.col(source_col).eqNullSafe(F.col("__source")))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = mine.withColumn("__n", copies(key, seed)).where("__n > 0")
-    dealt = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "__source", "size", "rate", "parts", "cdf")
+    counted = mine.withColumn("__n", copies(key, seed, F.col("__rate"))).where("__n > 0")
+    dealt = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "__source", "__rate")
     dealt = dealt.withColumn("place", uniform(key, F.col("copy"), F.lit(seed), F.lit("place")))
     return dealt.repartition(shuffle_partitions(spark), "place").sortWithinPartitions("place")
 

@@ -127,6 +127,9 @@ def test_mixing_weights(spark):
 
 
 def test_mixing_of_awkward_rows(awkward, nothing):
+    clashing = awkward.selectExpr("*", "1 as size", "2 as rate", "3 as parts", "4 as cdf", "5 as weight")
+    assert sorted(mixing.mix(clashing).columns) == sorted([*clashing.columns, "copy", "place"])
+    assert {(r["size"], r.rate, r.parts, r.cdf, r.weight) for r in mixing.mix(clashing).collect()} <= {(1, 2, 3, 4, 5)}
     mixed = mixing.mix(awkward)
     assert mixed.columns == [*awkward.columns, "copy", "place"]
     rows = mixed.collect()
