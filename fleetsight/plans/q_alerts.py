@@ -32,11 +32,10 @@ def _(t):
     return faults.select("*", F.inline(listed.select("rs").scalar()))
 
 
-@query("p07_fixed_double_equals", "SELECT id, CAST(cpu_usage_percent AS DOUBLE) AS cpu FROM tel WHERE CAST(cpu_usage_percent AS DOUBLE) = 50")
+@query("p07_fixed_double_equals", """
+SELECT rule_id, id FROM matched WHERE rule_id <> 6 UNION ALL SELECT 6 AS rule_id, id FROM tel WHERE CAST(cpu_usage_percent AS DOUBLE) = 50""")
 def _(t):
-    only = t.rules.filter("id = 6")
-    rows = rules.match_rules(_events(t), only, ["id", "cpu_usage_percent"], fix_double_equals=True)
-    return rows.select("id", F.col("cpu_usage_percent").alias("cpu"))
+    return rules.match_rules(_events(t), t.rules, ["id"], fix_double_equals=True).select("rule_id", "id")
 
 
 @query("p08_context_values", """

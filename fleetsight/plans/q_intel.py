@@ -116,16 +116,17 @@ LIFE = """SELECT i.*, CASE i.severity WHEN 'CRITICAL' THEN 'RESOLVED' WHEN 'ERRO
 
 
 def _with_life(t):
-    rows = _incidents(t).filter(F.col("trigger") == "signal")
+    # all triggers: the key tells incidents of one host apart that share an id
+    rows = _incidents(t).withColumn("incident_id", F.col("incident_key"))
     return incidents.with_lifecycle(rows, _lifecycle_actions(rows))
 
 
-@query("i04_lifecycle", f"SELECT incident_id, state AS lifecycle, acknowledged_at, resolved_at FROM ({LIFE}) x WHERE trigger = 'signal'")
+@query("i04_lifecycle", f"SELECT incident_key AS incident_id, state AS lifecycle, acknowledged_at, resolved_at FROM ({LIFE}) x")
 def _(t):
     return _with_life(t).select("incident_id", "lifecycle", "acknowledged_at", "resolved_at")
 
 
-@query("i04_resolution_log", f"SELECT incident_id, fault_type, resolved_at, CAST(7200000 AS BIGINT) AS resolution_time_ms, 'OPEN→ACKNOWLEDGED→RESOLVED' AS lifecycle_path FROM ({LIFE}) x WHERE trigger = 'signal' AND state = 'RESOLVED'")
+@query("i04_resolution_log", f"SELECT incident_key AS incident_id, fault_type, resolved_at, CAST(7200000 AS BIGINT) AS resolution_time_ms, 'OPEN→ACKNOWLEDGED→RESOLVED' AS lifecycle_path FROM ({LIFE}) x WHERE state = 'RESOLVED'")
 def _(t):
     return incidents.resolution_log(_with_life(t))
 
