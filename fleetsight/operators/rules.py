@@ -39,8 +39,11 @@ COUNTED_FIELDS = [
 
 #: Parsed rules up to this number are broadcast; more are spread over salted copies of their field.
 BROADCAST_RULES = 20_000
+#: Keys of the diagnostic object are picked out by name up to this number of names in rules; beyond it all keys are read.
+NAMED_KEYS = 1_000
 #: Parts that the events of one field are dealt to when the rules are not broadcast.
 SALTS = 32
+EQUALITY = ("=", "==")
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
@@ -113,6 +116,18 @@ def _diagnostic_pair(key: Column) -> Column:
     return F.struct(key.alias("field"), value.alias("actual"), number_from_text(value).alias("actual_number"))
 
 
+def _lookups(by_field: Column, by_value: Column, text: Column, number: Column) -> Column:
+    """Keys under which a rule and a value of its field meet: none but the field, the lower-cased text, the number."""
+    as_number = F.when(number == 0, F.lit(0.0)).otherwise(number).cast("string")
+    return F.array_compact(
+        F.array(
+            F.when(by_field, F.lit("*")),
+            F.when(by_value, F.concat(F.lit("t"), F.lower(text))),
+            F.when(by_value, F.concat(F.lit("n"), as_number)),
+        )
+    )
+
+
 def match_rules(
     events: DataFrame, rules: DataFrame, keep: list[str], fields: list[str] = LIVE_FIELDS, fix_double_equals: bool = False
 ) -> DataFrame:
@@ -120,27 +135,52 @@ def match_rules(
 
     Not a cross join: an event becomes one (field, value) row per field that some rule names, and those rows meet
     the rules on the field name. A name is a column (only those that rules use are unpivoted) or a key of the
-    event's diagnostic JSON object. Rules are broadcast up to ``BROADCAST_RULES``; beyond that the few field names are
-    no fit shuffle keys, so the events of a field go to ``SALTS`` parts and the rules to each of them.
+    event's diagnostic JSON object. Equality rules meet only the rows that hold their value: they are looked up by
+    field and value, once as text and once as number, where rules of the other operators are looked up by field.
+    Rules are broadcast up to ``BROADCAST_RULES``; beyond that the few field names are no fit shuffle keys, so the
+    events of a field go to ``SALTS`` parts and the rules to each of them.
     """
     enabled = rules.filter(F.coalesce("enabled", F.lit(True))) if "enabled" in rules.columns else rules
     parsed = parse_rules(enabled, fix_double_equals)
     is_column = F.col("field").isin(*fields)
-    n, used, others = parsed.agg(F.count(F.lit(1)), F.collect_set(F.when(is_column, F.col("field"))), F.count_if(~is_column)).first()
+    equal = F.col("op").isin(*EQUALITY)
+    outside = F.when(~is_column, F.col("field"))
+    n, by_value, by_field, others = parsed.agg(
+        F.count(F.lit(1)),
+        F.collect_set(F.when(is_column & equal, F.col("field"))),
+        F.collect_set(F.when(is_column & ~equal, F.col("field"))),
+        F.count_distinct(outside),
+    ).first()
     pairs = [
         F.struct(
             F.lit(name).alias("field"),
             context_value(events, name, fields).alias("actual"),
             context_number(events, name, fields).alias("actual_number"),
         )
-        for name in sorted(used)
+        for name in sorted({*by_value, *by_field})
     ]
     listed = F.array(*pairs) if pairs else F.array().cast("array<struct<field:string,actual:string,actual_number:double>>")
     if others and "diagnostic_context" in events.columns:
-        keys = F.array_distinct(F.json_object_keys("diagnostic_context"))
-        outside = F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: ~k.isin(*fields))
-        listed = F.concat(listed, F.transform(outside, _diagnostic_pair))
+        keys = F.coalesce(F.array_distinct(F.json_object_keys("diagnostic_context")), F.array().cast("array<string>"))
+        if others <= NAMED_KEYS:
+            names = parsed.agg(F.collect_set(outside)).first()[0]
+            asked = F.array_intersect(keys, F.array(*[F.lit(name) for name in sorted(names)]))
+        else:
+            asked = F.filter(keys, lambda k: ~k.isin(*fields))
+        listed = F.concat(listed, F.transform(asked, _diagnostic_pair))
     values = events.select(*keep, F.inline(listed)).filter(F.col("actual").isNotNull())
+    elsewhere = ~F.col("field").isin(*fields)
+    values = values.select(
+        "*",
+        F.explode(
+            _lookups(
+                elsewhere | F.col("field").isin(*by_field),
+                elsewhere | F.col("field").isin(*by_value),
+                F.col("actual"),
+                F.col("actual_number"),
+            )
+        ).alias("__lookup"),
+    )
     rule_side = parsed.select(
         F.col("id").alias("rule_id"),
         "rule_name",
@@ -153,14 +193,17 @@ def match_rules(
         "expected",
         number_from_text(F.col("expected")).alias("expected_number"),
     )
+    rule_side = rule_side.select("*", F.explode(_lookups(~equal, equal, F.col("expected"), F.col("expected_number"))).alias("__lookup"))
     if n <= BROADCAST_RULES:
-        joined = values.join(F.broadcast(rule_side), "field")
+        joined = values.join(F.broadcast(rule_side), ["field", "__lookup"])
     else:
         part = F.pmod(F.xxhash64(*keep, "actual"), F.lit(SALTS))
         copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-        joined = values.withColumn("__part", part).join(rule_side.withColumn("__part", copies), ["field", "__part"]).drop("__part")
+        joined = values.withColumn("__part", part).join(rule_side.withColumn("__part", copies), ["field", "__lookup", "__part"]).drop("__part")
     holds = condition_holds(F.col("actual"), F.col("op"), F.col("expected"), F.col("actual_number"), F.col("expected_number"))
-    return joined.filter(holds).drop("actual_number", "expected_number")
+    # Two equal numbers meet by number, and where their texts are equal by text too: that row goes.
+    twice = F.startswith("__lookup", F.lit("t")) & F.col("actual_number").isNotNull() & F.col("expected_number").isNotNull()
+    return joined.filter(holds & ~twice).drop("actual_number", "expected_number", "__lookup")
 
 
 def firing_matches(

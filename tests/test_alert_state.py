@@ -145,3 +145,48 @@ def test_many_rules_join_in_salted_parts(tables, monkeypatch):
     salted = rules.match_rules(events, tables.rules, ["id"])
     assert sorted(map(tuple, salted.select("rule_id", "id", "actual").collect())) == want
     assert "__part" in salted._jdf.queryExecution().optimizedPlan().toString()
+
+
+CASES = [
+    (1, "50", "Disk ", '{"k": "A", "n": 5.0}'),
+    (2, "50.0", "disk", '{"k": "a", "n": "5"}'),
+    (3, "-0.0", "DISK full", '{"n": -0.0, "other": 1}'),
+    (4, "NaN", "nan", '{"k": "NaN", "k2": null}'),
+    (5, None, "", None),
+    (6, "1e2", "100", "[1]"),
+]
+CONDITIONS = [
+    "cpu = 50", "cpu == 50.00", "cpu = 0", "cpu = -0", "cpu = nan", "cpu = 100", "cpu = 1E2", "cpu != 50", "cpu >= 50", "fault_type = disk",
+    "fault_type = 'DISK'", "fault_type contains dis", "fault_type = 1e2", "k = a", "k != a", "n = 5", "n = 0", "n < 5", "k = nan", "other = 1.0", "gone = 1",
+]
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 1])
+@pytest.mark.parametrize("named", [1_000, 0])
+@pytest.mark.parametrize("fixed", [True, False])
+def test_rule_lookups_equal_all_pairs(spark, tables, monkeypatch, broadcast, named, fixed):
+    """Rules looked up by value match what every rule tried on every event matches, each pair once."""
+    events = spark.createDataFrame(CASES, "id int, cpu_usage_percent string, fault_type string, diagnostic_context string")
+    rows = [(i, "n", text, "ERROR", 1, 30, None, True) for i, text in enumerate(CONDITIONS)]
+    table = spark.createDataFrame(rows, tables.rules.schema)
+    monkeypatch.setattr(rules, "BROADCAST_RULES", broadcast)
+    monkeypatch.setattr(rules, "NAMED_KEYS", named)
+    got = sorted(tuple(r) for r in rules.match_rules(events, table, ["id"], fix_double_equals=fixed).select("rule_id", "id").collect())
+    want = []
+    for r in rules.parse_rules(table, fixed).collect():
+        actual = rules.context_value(events, r.field)
+        hits = events.filter(actual.isNotNull() & rules.condition_holds(actual, F.lit(r.op), F.lit(r.expected)))
+        want += [(r.id, e.id) for e in hits.collect()]
+    assert got == sorted(want) and len(want) > 20
+
+
+def test_many_equality_rules_meet_only_their_values(spark, tables):
+    """10,000 equality rules on one field: the join hands on matches, not rules times events."""
+    events = tables.tel.select("id", F.col("id").cast("string").alias("hostname"))
+    table = spark.range(10_000).select(
+        F.col("id").cast("int").alias("id"), F.lit("n").alias("rule_name"), F.concat(F.lit("hostname = "), F.col("id")).alias("condition"),
+        F.lit("ERROR").alias("severity"), F.lit(1).alias("threshold"),
+    )
+    matched = rules.match_rules(events, table, ["id"])
+    assert "__lookup" in [line for line in matched._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line][0]
+    assert matched.count() == events.filter(F.col("id") < 10_000).count()
