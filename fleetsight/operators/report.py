@@ -16,7 +16,7 @@ def report_counters(events: DataFrame, top: dict[str, int] | None = None) -> Dat
     """Counts by channel, level, fault, provider (top 10) and code (top 10, with the earliest event's provider).
 
     The five groupings share one scan and one shuffle: each event becomes five (dimension, value) pairs that are
-    combined before the shuffle. The cut per dimension works on group rows.
+    combined before the shuffle. No task sees all values of a dimension, see ``_cut`` and ``_numbered``.
     """
     top = TOP_DIMENSIONS if top is None else top
     dims = {
@@ -31,15 +31,38 @@ def report_counters(events: DataFrame, top: dict[str, int] | None = None) -> Dat
     counts = rows.groupBy("p.dimension", "p.value").agg(
         F.count(F.lit(1)).alias("count"), F.min_by("provider_name", F.struct("ingested_at", "id")).alias("example")
     )
-    total = F.sum("count").over(Window.partitionBy("dimension"))
-    counts = counts.withColumn("percent", F.round(F.col("count") * 100.0 / total, 1))
-    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("count").desc(), F.col("value")))
-    ranked = counts.withColumn("position", rank)
-    keep = F.lit(True)
-    for name, k in top.items():
-        keep = keep & ((F.col("dimension") != name) | (F.col("position") <= k))
+    # Every event counts once in each dimension, so all of them share one total.
+    percent = F.round(F.col("count") * 100.0 / events.agg(F.count(F.lit(1))).scalar(), 1)
+    ranked = _cut(counts, top).unionByName(_numbered(counts.filter(~F.col("dimension").isin(*top)))) if top else _numbered(counts)
+    ranked = ranked.withColumn("percent", percent)
     example = F.when(F.col("dimension") == "event_code", F.coalesce("example", F.lit("Unknown")))
-    return ranked.filter(keep).withColumn("example", example)
+    return ranked.withColumn("example", example)
+
+
+def _cut(counts: DataFrame, top: dict[str, int]) -> DataFrame:
+    """Group rows of the dimensions in ``top`` with their position, as many as each of them keeps.
+
+    The literal bound on the rank lets Spark cut to that many rows per map task before the shuffle.
+    """
+    order = Window.partitionBy("dimension").orderBy(F.col("count").desc(), F.col("value"))
+    most = counts.filter(F.col("dimension").isin(*top)).withColumn("position", F.row_number().over(order))
+    most = most.filter(F.col("position") <= max(top.values()))
+    wanted = F.create_map(*[F.lit(x) for pair in top.items() for x in pair])
+    return most.filter(F.col("position") <= F.element_at(wanted, F.col("dimension")))
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """Group rows with their position in their dimension, all of them.
+
+    A position is the number of values with a larger count plus the place among those of equal count, so a task sees
+    the values of one (dimension, count), and the window per dimension one row per distinct count.
+    """
+    sizes = counts.groupBy("dimension", "count").agg(F.count(F.lit(1)).alias("__ties"))
+    larger = Window.partitionBy("dimension").orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("dimension", "count", F.coalesce(F.sum("__ties").over(larger), F.lit(0)).alias("__before"))
+    ties = Window.partitionBy("dimension", "count").orderBy("value")
+    placed = counts.join(sizes, ["dimension", "count"])
+    return placed.withColumn("position", (F.row_number().over(ties) + F.col("__before")).cast("int")).drop("__before")
 
 
 def resource_usage(events: DataFrame) -> DataFrame:
