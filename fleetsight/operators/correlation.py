@@ -41,6 +41,13 @@ def hot_hosts(snapshots: DataFrame, cpu: float = 85) -> DataFrame:
     return snapshots.filter(F.col("cpu_usage_percent") > cpu).groupBy("system_id").agg(F.max("snapshot_time").alias("hot_at"), F.count(F.lit(1)).alias("hot_snapshots"))
 
 
+def newest_predictions(predictions: DataFrame) -> DataFrame:
+    """Newest probability and fault per host, as (model_host, m)."""
+    return predictions.groupBy(F.col("system_id").alias("model_host")).agg(
+        F.max_by(F.struct(F.col("failure_probability").cast("double").alias("p"), F.col("predicted_fault").alias("fault")), "prediction_time").alias("m")
+    )
+
+
 def correlation_facts(incidents: DataFrame, predictions: DataFrame, snapshots: DataFrame, systems: DataFrame, words: dict = KEYWORDS) -> DataFrame:
     """Everything the five patterns ask about, as one row.
 
@@ -64,9 +71,7 @@ def correlation_facts(incidents: DataFrame, predictions: DataFrame, snapshots: D
     busy = snapshots.filter(F.col("critical_count") > 5).groupBy(F.col("system_id").alias("busy_host")).agg(
         F.max_by("critical_count", "snapshot_time").alias("busy_count")
     )
-    newest = predictions.groupBy(F.col("system_id").alias("model_host")).agg(
-        F.max_by(F.struct(F.col("failure_probability").cast("double").alias("p"), F.col("predicted_fault").alias("fault")), "prediction_time").alias("m")
-    )
+    newest = newest_predictions(predictions)
     top_hot = hot.agg(F.max(F.struct("hot_at", F.col("system_id").alias("host"))).alias("r"), F.sum("hot_snapshots").alias("n"))
     cpu = systems.agg(F.avg(F.col("cpu_usage_percent").cast("double")))
     return (
@@ -168,11 +173,28 @@ def correlate(
     return patterns_of(correlation_facts(incidents, predictions, snapshots, systems, words), fleet_limit, minutes)
 
 
-def common_systems(incidents: DataFrame) -> DataFrame:
-    """Hosts that all incidents have in common: a host's distinct incidents against the number of all incidents."""
-    total = incidents.agg(F.countDistinct("incident_key"))
-    per_host = incidents.groupBy("system_id").agg(F.countDistinct("incident_key").alias("incidents"))
-    return per_host.filter(F.col("incidents") == total.scalar())
+def isolated_nodes(incidents: DataFrame, predictions: DataFrame, by: list[str]) -> DataFrame:
+    """The isolated-node pattern within every group of incidents that agree in ``by``: at most one row per group."""
+    groups = incidents.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("incidents"), F.when(F.min("system_id") == F.max("system_id"), F.min("system_id")).alias("common")
+    )
+    groups = groups.select(F.struct(*by).alias("__group"), "incidents", "common")
+    facts = groups.join(newest_predictions(predictions), F.col("common") == F.col("model_host"), "left")
+    return facts.select("__group", isolated_node().alias("found")).filter("found IS NOT NULL").select("__group.*", "found.*")
+
+
+def common_systems(incidents: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Hosts that all incidents have in common: a host's distinct incidents against the number of all incidents.
+
+    With ``by`` the same within every group of incidents that agree in those columns.
+    """
+    by = by or []
+    group = F.struct(*by, F.lit(0).alias("__all"))  # a struct with NULL fields equals itself in a join
+    rows = incidents.select(group.alias("__group"), "system_id", "incident_key").distinct()
+    total = rows.select("__group", "incident_key").distinct().groupBy("__group").agg(F.count(F.lit(1)).alias("__total"))
+    per_host = rows.groupBy("__group", "system_id").agg(F.count(F.lit(1)).alias("incidents"))
+    shared = per_host.join(total, (per_host["__group"] == total["__group"]) & (F.col("incidents") == F.col("__total")), "left_semi")
+    return shared.select(*[F.col(f"__group.{c}").alias(c) for c in by], "system_id", "incidents")
 
 
 def correlation_systems(correlations: DataFrame, incidents: DataFrame, snapshots: DataFrame, words: dict = KEYWORDS) -> DataFrame:

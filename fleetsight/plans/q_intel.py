@@ -267,25 +267,33 @@ def _(t):
     return _pattern(t, "corr-network-degradation")
 
 
-BUSIEST = "(SELECT system_id FROM incidents GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+@query("c04_isolated_node", """
+SELECT i.system_id, 'corr-isolated-node' AS correlation_id, 'Isolated node failure: ' || i.system_id AS root_cause, i.system_id AS root_system, round(least(0.70 + 0.15*coalesce(any_value(p.failure_probability), 0), 0.95), 6) AS confidence,
+ 'All ' || CAST(count(*) AS VARCHAR) || ' incidents share single system: ' || i.system_id AS shared
+FROM incidents i LEFT JOIN trend7 p ON p.system_id = i.system_id GROUP BY i.system_id HAVING count(*) >= 2""")
+def _(t):
+    found = correlation.isolated_nodes(_incidents(t), t.preds(7 * DAY), ["system_id"])
+    return found.select("system_id", *CORR_OUT, F.element_at("evidence", 1).alias("shared"))
 
 
-def _one_host(t):
-    """Incidents of the host with most of them, so that they share exactly one host."""
-    rows = _incidents(t)
-    top = rows.groupBy("system_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "system_id").limit(1)
-    return rows.join(top.select("system_id"), "system_id", "left_semi")
+@query("c04_isolated_node_of_all", """
+SELECT 'corr-isolated-node' AS correlation_id, 'Isolated node failure: ' || min(system_id) AS root_cause FROM incidents HAVING count(DISTINCT system_id) = 1 AND count(*) >= 2""")
+def _(t):
+    return _pattern(t, "corr-isolated-node").select("correlation_id", "root_cause")
 
 
-@query("c04_isolated_node", f"""
-SELECT 'corr-isolated-node' AS correlation_id, 'Isolated node failure: ' || p.system_id AS root_cause, p.system_id AS root_system, round(least(0.70 + 0.15*p.failure_probability, 0.95), 6) AS confidence FROM trend7 p WHERE p.system_id = {BUSIEST}""")
+@query("u05_common_systems", """
+SELECT created_at, min(system_id) AS system_id, count(DISTINCT incident_key) AS incidents FROM incidents GROUP BY 1 HAVING count(DISTINCT system_id) = 1""")
 def _(t):
-    return _pattern(t, "corr-isolated-node", _one_host(t))
+    return correlation.common_systems(_incidents(t), ["created_at"])
 
 
-@query("u05_common_systems", f"SELECT system_id, count(*) AS incidents FROM incidents WHERE system_id = {BUSIEST} GROUP BY 1")
+@query("u05_common_systems_by_severity", """
+WITH n AS (SELECT fault_type, severity, count(DISTINCT incident_key) AS total FROM incidents GROUP BY ALL)
+SELECT i.fault_type, i.severity, i.system_id, count(DISTINCT i.incident_key) AS incidents FROM incidents i JOIN n ON n.fault_type IS NOT DISTINCT FROM i.fault_type AND n.severity IS NOT DISTINCT FROM i.severity
+GROUP BY i.fault_type, i.severity, i.system_id, n.total HAVING count(DISTINCT i.incident_key) = n.total""")
 def _(t):
-    return correlation.common_systems(_one_host(t))
+    return correlation.common_systems(_incidents(t), ["fault_type", "severity"])
 
 
 C05 = f"""
