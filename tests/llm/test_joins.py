@@ -1,10 +1,12 @@
 """Jaccard join, decontamination and repeated-passage removal against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetsight.llm import decontaminate, jaccard_join, suffix_dedup
@@ -222,6 +224,48 @@ def test_repeats_of_awkward_rows(awkward, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def context_rows(texts, length, gram):
+    """Contexts of all texts by anchor, as they reach a shard."""
+    anchors, found = suffix_dedup.Anchors(length, gram), defaultdict(dict)
+    for data in texts:
+        for columns in suffix_dedup._contexts_of(data, anchors):
+            for anchor, ctx, first, windows, place in zip(*(c.tolist() for c in columns)):
+                body = data[first : first + windows + length - 1]
+                row = found[anchor].setdefault(ctx, {"anchor": anchor, "ctx": ctx, "n": 0, "windows": windows, "place": place, "body": body})
+                row["n"] += 1
+    return {a: list(rows.values()) for a, rows in found.items()}
+
+
+@pytest.mark.parametrize(("length", "gram"), [(60, 24), (60, 8), (40, 38)])
+def test_only_windows_that_others_may_hold_reach_a_suffix_array(length, gram, monkeypatch):
+    """No repeated window is left out, contexts without a partner are, and the runs are those of brute force."""
+    rng = random.Random(5)
+    base = [bytes(rng.choice(b"abcdefgh ") for _ in range(300)) for _ in range(6)]
+    texts = [*base, base[0]]
+    for _ in range(30):
+        copy = bytearray(rng.choice(base))
+        for at in rng.sample(range(len(copy)), rng.randint(1, 6)):
+            copy[at] = ord("X")
+        texts.append(bytes(copy))
+    groups = {a: rows for a, rows in context_rows(texts, length, gram).items() if len(rows) > 1}
+    counts = Counter(data[a : a + length] for data in texts for a in range(len(data) - length + 1))
+    given = []
+    real = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda bodies, weights, n: given.extend(bodies) or real(bodies, weights, n))
+    batch = pa.RecordBatch.from_pylist([r for rows in groups.values() for r in rows], schema=suffix_dedup.BODY)
+    got = {(r["anchor"], r["ctx"]): r["runs"] for b in suffix_dedup._shards(length, gram)(iter([batch])) for r in b.to_pylist()}
+    every = 0
+    for anchor, rows in groups.items():
+        spans = suffix_dedup.shared_windows(rows, length, gram)
+        for r, span in zip(rows, spans):
+            again = [counts[r["body"][a : a + length]] > 1 for a in range(r["windows"])]
+            assert got.get((anchor, r["ctx"]), []) == suffix_dedup._covered_runs(np.array(again), length)
+            if r["n"] == 1:
+                assert all(span and span[0] <= a <= span[1] for a, x in enumerate(again) if x)
+            every += len(r["body"])
+    assert 0 < sum(map(len, given)) < 0.9 * every
+
+
 def test_texts_without_an_id_stay_apart(spark):
     first, second = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
     rows = [(1, first), (2, second), (None, first + " x"), (None, second + " y"), (7, first + " z"), (7, second + " z"), (8, "c d e f g h"), (9, "i j k l m n")]
