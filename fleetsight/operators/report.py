@@ -10,13 +10,15 @@ from fleetsight.operators.classify import detect_errors
 from fleetsight.schemas import CPU_ALERT, DISK_ALERT, MEMORY_ALERT
 
 TOP_DIMENSIONS = {"provider": 10, "event_code": 10}
+#: Parts of a dimension's values in the report counters.
+PARTS = 16
 
 
 def report_counters(events: DataFrame, top: dict[str, int] | None = None) -> DataFrame:
     """Counts by channel, level, fault, provider (top 10) and code (top 10, with the earliest event's provider).
 
     The five groupings share one scan and one shuffle: each event becomes five (dimension, value) pairs that are
-    combined before the shuffle. No task sees all values of a dimension, see ``_cut`` and ``_numbered``.
+    combined before the shuffle. No task sees all values of a dimension, see ``_positions``.
     """
     top = TOP_DIMENSIONS if top is None else top
     dims = {
@@ -31,38 +33,46 @@ def report_counters(events: DataFrame, top: dict[str, int] | None = None) -> Dat
     counts = rows.groupBy("p.dimension", "p.value").agg(
         F.count(F.lit(1)).alias("count"), F.min_by("provider_name", F.struct("ingested_at", "id")).alias("example")
     )
-    # Every event counts once in each dimension, so all of them share one total.
-    percent = F.round(F.col("count") * 100.0 / events.agg(F.count(F.lit(1))).scalar(), 1)
-    ranked = _cut(counts, top).unionByName(_numbered(counts.filter(~F.col("dimension").isin(*top)))) if top else _numbered(counts)
-    ranked = ranked.withColumn("percent", percent)
+    ranked = _positions(counts, top)
     example = F.when(F.col("dimension") == "event_code", F.coalesce("example", F.lit("Unknown")))
     return ranked.withColumn("example", example)
 
 
-def _cut(counts: DataFrame, top: dict[str, int]) -> DataFrame:
-    """Group rows of the dimensions in ``top`` with their position, as many as each of them keeps.
+def _positions(counts: DataFrame, top: dict[str, int]) -> DataFrame:
+    """Group rows with their position in their dimension and percent of it, the dimensions in ``top`` cut to their first.
 
-    The literal bound on the rank lets Spark cut to that many rows per map task before the shuffle.
+    The rows of a dimension are dealt to ``PARTS`` parts. A cut dimension keeps the first of each part, which hold the
+    first of all. A position is the place among equal counts plus the number of values with a larger count; every part
+    learns those numbers from a row per distinct count, and the total from a row per part, copied to all parts.
     """
-    order = Window.partitionBy("dimension").orderBy(F.col("count").desc(), F.col("value"))
-    most = counts.filter(F.col("dimension").isin(*top)).withColumn("position", F.row_number().over(order))
-    most = most.filter(F.col("position") <= max(top.values()))
-    wanted = F.create_map(*[F.lit(x) for pair in top.items() for x in pair])
-    return most.filter(F.col("position") <= F.element_at(wanted, F.col("dimension")))
-
-
-def _numbered(counts: DataFrame) -> DataFrame:
-    """Group rows with their position in their dimension, all of them.
-
-    A position is the number of values with a larger count plus the place among those of equal count, so a task sees
-    the values of one (dimension, count), and the window per dimension one row per distinct count.
-    """
-    sizes = counts.groupBy("dimension", "count").agg(F.count(F.lit(1)).alias("__ties"))
-    larger = Window.partitionBy("dimension").orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("dimension", "count", F.coalesce(F.sum("__ties").over(larger), F.lit(0)).alias("__before"))
-    ties = Window.partitionBy("dimension", "count").orderBy("value")
-    placed = counts.join(sizes, ["dimension", "count"])
-    return placed.withColumn("position", (F.row_number().over(ties) + F.col("__before")).cast("int")).drop("__before")
+    part = Window.partitionBy("dimension", "__part")
+    first = F.row_number().over(part.orderBy(F.col("count").desc(), F.col("value")))
+    rows = counts.withColumn("__part", F.pmod(F.hash("value"), F.lit(PARTS)))
+    rows = rows.withColumns({"__first": first, "__sum": F.sum("count").over(part)})
+    wanted = F.lit(None).cast("int")
+    for name, k in top.items():
+        wanted = F.when(F.col("dimension") == name, k).otherwise(wanted)
+    rows = rows.filter(wanted.isNull() | (F.col("__first") <= wanted))
+    ties = Window.partitionBy("dimension", "count")
+    rows = rows.withColumns({"__place": F.row_number().over(ties.orderBy("value")), "__ties": F.count(F.lit(1)).over(ties)})
+    told = (F.col("__first") == 1) | (F.col("__place") == 1)
+    to = F.when(told, F.sequence(F.lit(-1), F.lit(PARTS - 1))).otherwise(F.array(F.lit(-1)))
+    rows = rows.withColumn("__to", F.explode(to))
+    copy = F.col("__to") >= 0
+    rows = rows.withColumns(
+        {
+            "__part": F.when(copy, F.col("__to")).otherwise(F.col("__part")),
+            "__ties": F.when(copy & (F.col("__place") == 1), F.col("__ties")),
+            "__sum": F.when(copy & (F.col("__first") == 1), F.col("__sum")),
+            **{c: F.when(~copy, F.col(c)) for c in ("value", "example")},
+        }
+    )
+    larger = part.orderBy(F.col("count").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__ties").over(larger), F.lit(0))
+    rows = rows.withColumns({"position": (F.col("__place") + before).cast("int"), "__total": F.sum("__sum").over(part)})
+    percent = F.round(F.col("count") * 100.0 / F.col("__total"), 1)
+    kept = rows.filter(~copy & (wanted.isNull() | (F.col("position") <= wanted)))
+    return kept.select("dimension", "value", "count", "example", "position", percent.alias("percent"))
 
 
 def resource_usage(events: DataFrame) -> DataFrame:
