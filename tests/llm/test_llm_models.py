@@ -1,10 +1,12 @@
 """Toxicity, quality, personal data, neighbours: held-out accuracy, brute force and awkward rows."""
 
 import hashlib
+import heapq
 import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,72 @@ def test_leaves_follow_the_table(spark, monkeypatch):
     for leaf_rows in (150, 5):
         neighbours.nearest(table, F.col("vec_id") < 3, leaves=8, leaf_rows=leaf_rows).count()
     assert asked[1][1] > 8 * asked[0][1] and all(0.04 * total <= leaves < 0.04 * total + 8 for leaves, total in asked)
+
+
+def heap_opened(forest, q, leaves):
+    """(tree, leaf) one after another from a queue of all trees, nodes of a tree in the order in which they were made."""
+    turn = lambda t, node: (int(forest[t].turn[node]) if node >= 0 else node, node)
+    queue, out = [(0.0, t, *turn(t, 0 if len(tree.cut) else -1)) for t, tree in enumerate(forest)], []
+    while queue and len(out) < leaves:
+        far, t, _, node = heapq.heappop(queue)
+        while node >= 0:
+            margin = float(q @ forest[t].normal[node] - forest[t].cut[node])
+            side = int(margin > 0)
+            heapq.heappush(queue, (max(far, abs(margin)), t, *turn(t, int(forest[t].child[node, 1 - side]))))
+            node = int(forest[t].child[node, side])
+        out.append((t, ~node))
+    return out
+
+
+def test_queries_do_not_grow_with_the_leaves_they_open():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4_000, 8))
+    forest = [neighbours.grown(x, 4, rng) for _ in range(4)]
+    total = sum(len(t.cut) + 1 for t in forest)
+    asked = pa.record_batch({"v": pa.array(x[:300].tolist(), pa.list_(pa.float64())), "vec_id": pa.array(range(300), pa.int64())})
+    sizes = []
+    for leaves in (total // 25, total // 2):
+        made = list(neighbours._routed_queries(forest, leaves)(iter([asked])))
+        assert sum(b.num_rows for b in made) == 300  # before: 300 times the leaves, with the vector each, in one batch
+        sizes.append(sum(b.nbytes for b in made))
+    assert max(sizes) < 300 * (8 * 8 + 4 * total // 16)
+
+
+def test_queries_tell_what_their_queue_opens():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1_500, 6))
+    forest = [neighbours.grown(x, 8, rng) for _ in range(5)]
+    first = np.cumsum([0] + [len(t.cut) + 1 for t in forest])
+    for leaves in (1, 4, 5, 6, 40, 300, int(first[-1]) - 1, int(first[-1]), 10**6):
+        q = rng.normal(size=(12, 6))
+        for v, (under, beyond, tied) in zip(q, neighbours.reached(forest, q, leaves)):
+            got = set(tied)
+            for t, tree in enumerate(forest):
+                far = np.empty((1, len(tree.cut) + 1))
+                tree.spread(v[None], far)
+                got |= {int(first[t] + leaf) for leaf in tree.lined[~(far[0] >= under)]}
+                assert not {int(first[t] + leaf) for leaf in tree.lined[far[0] >= beyond]} & got
+            assert got == {int(first[t]) + leaf for t, leaf in heap_opened(forest, v, leaves)}
+
+
+@pytest.mark.parametrize("kind, scale", [("float", 1.0), ("double", 1.0), ("float", 1e-20), ("float", 1e17)])
+def test_neighbours_over_several_shards(spark, monkeypatch, kind, scale):
+    rng, seen = np.random.default_rng(7), []
+    x = rng.normal(size=(700, 6)) * scale
+    x[::9] = x[1]
+    x = x.astype(np.float32).astype(float) if kind == "float" else x
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 6_000)
+    whole = neighbours._routed_queries
+    monkeypatch.setattr(neighbours, "_routed_queries", lambda forest, leaves: seen.append((forest, leaves)) or whole(forest, leaves))
+    got = sorted(tuple(r) for r in neighbours.nearest(table, F.col("vec_id") % 50 == 0, trees=4, leaves=8, leaf_rows=10).collect())
+    (forest, leaves), want = seen[0], []
+    by_tree = [t.leaves(x) for t in forest]
+    for q in range(0, 700, 50):
+        met = np.zeros(700, bool)
+        for t, leaf in heap_opened(forest, x[q], leaves):
+            met |= by_tree[t] == leaf
+        near = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), int(i)) for i in np.flatnonzero(met) if i != q)[:10]
+        want += [(q, r + 1, i, s) for r, (s, i) in enumerate(near)]
+    assert leaves < sum(len(t.cut) + 1 for t in forest)
+    assert got == want
